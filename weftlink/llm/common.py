@@ -148,7 +148,7 @@ class UnitTable:
 
     def units(self, text: str) -> list[str] | None:
         """The units, or None if the text must be encoded whole.  The first is marked, as it has no space before it."""
-        if any(s in text for s in self.special):
+        if any(s in text for s in self.special) or self.spaced and "\0" in text:
             return None
         units = text.split(" ")
         if self.spaced:
@@ -162,9 +162,9 @@ class UnitTable:
             self.table.clear()
         new = set(chain.from_iterable(u for u in split if u is not None)) - self.table.keys()
         if new and self.spaced:
-            firsts = [u for u in new if u[:1] == "\0" and u[1:2] != "\0"]
+            firsts = [u for u in new if u[:1] == "\0"]
             # An empty unit, or one that starts with white space, belongs to a longer run of white space.
-            alone = {u for u in new if not u or u[0].isspace() or u[:2] == "\0\0"}
+            alone = {u for u in new if not u or u[0].isspace()}
             rest = [u for u in new if u[:1] != "\0" and u not in alone]
             self.table.update(dict.fromkeys(alone, WHOLE))
             self.table.update(zip(firsts, self.encode([u[1:] for u in firsts])))
