@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftlink.llm import quality
+from weftlink.llm import pieces, quality, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality.op1,
+        "op3_token_counts": token_counts.op3,
+        "op9_sentencepiece": pieces.op9,
     }
 
 

@@ -121,7 +121,7 @@ class PrefixCounter:
         """Token counts of data[:0], data[:1], ... data[:n] for one chunk."""
         known = self.done.get(data)
         if known is None:
-            if len(self.done) > common.TABLE_SIZE:
+            if len(self.done) > common.TABLE_SIZE // 2:
                 self.done.clear()
             known = self.done[data] = self._chunk(data)
         return known
