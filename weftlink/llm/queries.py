@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftlink.llm import packing, pieces, quality, sharding, substrings, token_counts
+from weftlink.llm import neardup, packing, pieces, quality, sharding, substrings, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": quality.op1,
         "op2_best_fit_packing": packing.op2,
         "op3_token_counts": token_counts.op3,
+        "op5_minhash_near_dedup": neardup.op5,
         "op7_substring_dedup": substrings.op7,
         "op9_sentencepiece": pieces.op9,
         "op10_sharding": sharding.op10,
@@ -21,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.OP1_SQL, "op7_substring_dedup": substrings.OP7_SQL}
+    return {"op1_quality_rules": quality.OP1_SQL, "op5_minhash_near_dedup": neardup.OP5_SQL, "op7_substring_dedup": substrings.OP7_SQL}
