@@ -82,3 +82,12 @@ def covered(length: int, ranges: list[tuple[int, int]]) -> np.ndarray:
         np.add.at(edge, r[:, 0], 1)
         np.add.at(edge, r[:, 1], -1)
     return np.cumsum(edge[:-1]) > 0
+
+
+#: Windows handled at once, so that a text of any length needs bounded memory.
+SEGMENT = 1 << 17
+
+
+def segments(length: int, window: int) -> list[tuple[int, int]]:
+    """Ranges of units that overlap by window - 1, so that each window lies in exactly one."""
+    return [(at, min(length, at + SEGMENT + window - 1)) for at in range(0, max(0, length - window + 1), SEGMENT)]

@@ -77,9 +77,11 @@ def block_rows(units_of: Callable[[str], np.ndarray], window: int, anchor: int)
                 part = b.slice(at, common.SLICE)
                 cols: list[list[np.ndarray]] = [[], [], [], [], [], []]
                 for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                    anchors, contents, first, n, _ = rolling.blocks(units_of(text), window, anchor)
-                    if len(n):
-                        for col, x in zip(cols, (np.full(len(n), doc), np.full(len(n), text_hash(text)), anchors.view(np.int64), contents.view(np.int64), first, n)):
+                    units, row = units_of(text), None
+                    for low, high in rolling.segments(len(units), window):
+                        anchors, contents, first, n, _ = rolling.blocks(units[low:high], window, anchor)
+                        row = text_hash(text) if row is None else row
+                        for col, x in zip(cols, (np.full(len(n), doc), np.full(len(n), row), anchors.view(np.int64), contents.view(np.int64), first + low, n)):
                             col.append(x)
                 if cols[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(cols, schema)], schema=schema)
@@ -97,11 +99,12 @@ def window_rows(units_of: Callable[[str], np.ndarray], window: int) -> Callable:
                 part = b.slice(at, common.SLICE)
                 cols: list[list[np.ndarray]] = [[], [], [], [], []]
                 for doc, row, text, wanted in zip(*(part.column(n).to_pylist() for n in ("doc_id", "row_hash", "text", "blocks"))):
-                    hashes = rolling.spans(units_of(text), window).view(np.int64)
-                    first, n = np.array([w["first"] for w in wanted]), np.array([w["n"] for w in wanted])
-                    places = np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                    for col, x in zip(cols, (np.full(len(places), doc), np.full(len(places), row), np.repeat(np.array([w["anchor"] for w in wanted], np.int64), n), hashes[places], places)):
-                        col.append(x)
+                    units = units_of(text)
+                    for w in wanted:
+                        low, n = w["first"], w["n"]
+                        hashes = rolling.spans(units[low : low + n - 1 + window], window).view(np.int64)
+                        for col, x in zip(cols, (np.full(n, doc), np.full(n, row), np.full(n, w["anchor"]), hashes, np.arange(low, low + n))):
+                            col.append(x)
                 if cols[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(cols, schema)], schema=schema)
 
