@@ -13,6 +13,7 @@ Conventions of every operator here:
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -185,6 +186,13 @@ class UnitTable:
 _TABLES: dict[tuple, UnitTable] = {}
 
 
+#: The pre-tokenizers' chunks of ASCII text: units of ASCII are cut by these, so that the library sees each distinct chunk once.
+ASCII_CHUNKS = {
+    "byte_bpe_50k.json": (r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", False),
+    "word_bpe_49k.json": (r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", True),
+}
+
+
 def library_table(path: str, width: int, spaced: bool) -> UnitTable:
     """Units to little-endian ids of the given width, by the tokenizers library; one table for each worker process."""
     key = (path, width, spaced)
@@ -201,11 +209,26 @@ def library_table(path: str, width: int, spaced: bool) -> UnitTable:
         with open(path, encoding="utf-8") as f:
             special = tuple(x["content"] for x in json.load(f)["added_tokens"])
         kind = np.dtype(f"<u{width}")
+        pattern, lower = ASCII_CHUNKS.get(os.path.basename(path), (None, False))
+        cut = re.compile(pattern, re.ASCII).findall if pattern else None
+        chunks: dict[str, bytes] = {}
 
-        def encode(units: list[str]) -> list[bytes]:
+        def library(units: list[str]) -> list[bytes]:
             return [np.array(e.ids, kind).tobytes() for e in tok.encode_batch_fast(units, add_special_tokens=False)]
 
-        _TABLES[key] = UnitTable(encode, lambda t: encode([t])[0], spaced, special)
+        def encode(units: list[str]) -> list[bytes]:
+            if cut is None:
+                return library(units)
+            split = [cut(u.lower() if lower else u) if u.isascii() else (u,) for u in units]
+            if len(chunks) > TABLE_SIZE:
+                chunks.clear()
+            new = list(set(chain.from_iterable(split)) - chunks.keys())
+            if new:
+                chunks.update(zip(new, library(new)))
+            get = chunks.__getitem__
+            return [b"".join(map(get, c)) for c in split]
+
+        _TABLES[key] = UnitTable(encode, lambda t: library([t])[0], spaced, special)
     return _TABLES[key]
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftlink.llm import neardup, packing, pieces, quality, sharding, substrings, suffixes, token_counts
+from weftlink.llm import neardup, packing, pieces, quality, sharding, substrings, suffixes, token_counts, tokenfile
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": quality.op1,
         "op2_best_fit_packing": packing.op2,
         "op3_token_counts": token_counts.op3,
+        "op4_token_id_output": tokenfile.op4,
         "op5_minhash_near_dedup": neardup.op5,
         "op7_substring_dedup": substrings.op7,
         "op8_suffix_array_dedup": suffixes.op8,
