@@ -16,7 +16,7 @@ Null and empty texts have no tokens.  Texts are never shortened.
 from __future__ import annotations
 
 import json
-from array import array
+import re
 from bisect import bisect_right
 
 import numpy as np
@@ -64,8 +64,9 @@ class PrefixCounter:
             self.made.setdefault(self.ids[self.bytes_of[pair[0]] + self.bytes_of[pair[1]]], pair)
         self.spines: dict[int, tuple[list, list]] = {}
         self.pairs: dict[int, bool] = {}
-        self.done: dict[bytes, list[int]] = {}
+        self.done: dict[str, bytes | list[int]] = {}
         self.chunks = regex.compile(CHUNKS)
+        self.ascii_chunks = re.compile(common.ASCII_CHUNKS[VOCABULARY][0], re.ASCII).findall
 
     def spine(self, token: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
         """How a token's last and its first part grow: (part, rank of the merge that ends it), the byte first."""
@@ -117,13 +118,14 @@ class PrefixCounter:
             self.pairs[key] = known
         return known
 
-    def chunk(self, data: bytes) -> list[int]:
-        """Token counts of data[:0], data[:1], ... data[:n] for one chunk."""
-        known = self.done.get(data)
+    def chunk(self, chunk: str) -> bytes | list[int]:
+        """Token counts at the ends of the chunk's first 0, 1, ... bytes."""
+        known = self.done.get(chunk)
         if known is None:
-            if len(self.done) > common.TABLE_SIZE // 2:
+            if len(self.done) > common.TABLE_SIZE:
                 self.done.clear()
-            known = self.done[data] = self._chunk(data)
+            known = self._chunk(chunk.encode("utf-8", "surrogatepass"))
+            known = self.done[chunk] = bytes(known) if max(known) < 256 else known
         return known
 
     def _chunk(self, data: bytes) -> list[int]:
@@ -144,6 +146,12 @@ class PrefixCounter:
 
     def total(self, text: str) -> int:
         """Tokens of the whole text: special strings count one, the rest by chunks."""
+        if text.isascii() and not any(s in text for s in self.special):
+            done, n = self.done, 0
+            for c in self.ascii_chunks(text):
+                known = done.get(c)
+                n += (known or self.chunk(c))[-1]
+            return n
         n = 0
         for k, part in enumerate(self.parts(text)):
             n += 1 if k % 2 else self.total_plain(part)
@@ -195,11 +203,11 @@ class PrefixCounter:
         return self.total_plain_of(self.chunks.findall(text))
 
     def total_plain_of(self, chunks: list[str]) -> int:
-        return sum(self.chunk(c.encode("utf-8", "surrogatepass"))[-1] for c in chunks)
+        return sum(self.chunk(c)[-1] for c in chunks)
 
     def _characters(self, chunk: str) -> list[int]:
         """Counts at the characters' ends of a chunk."""
-        counts = self.chunk(chunk.encode("utf-8", "surrogatepass"))
+        counts = self.chunk(chunk)
         if len(counts) == len(chunk) + 1:
             return counts
         ends = np.cumsum([0, *(len(c.encode("utf-8", "surrogatepass")) for c in chunk)])
@@ -213,14 +221,14 @@ class PrefixCounter:
 
 
 class Counts:
-    """The counts of one text: totals at the units' ends, and the table's counts inside a unit."""
+    """The counts of one text: totals at the units' ends, and a unit's own prefixes where they are asked for."""
 
-    __slots__ = ("ends", "sizes", "units")
+    __slots__ = ("counter", "ends", "sizes", "units")
 
-    def __init__(self, units: list[array]):
-        self.units = units
-        self.ends = np.cumsum([u[-1] for u in units])
-        self.sizes = np.cumsum([len(u) - 1 for u in units])
+    def __init__(self, counter: PrefixCounter, units: list[str], totals: list[int]):
+        self.counter, self.units = counter, units
+        self.ends = np.cumsum(totals, dtype=np.int64)
+        self.sizes = np.cumsum([len(u) for u in units], dtype=np.int64)
 
     @property
     def total(self) -> int:
@@ -231,16 +239,18 @@ class Counts:
         k = int(np.searchsorted(self.sizes, i, "left"))
         if k >= len(self.units):
             return self.total
-        return int((int(self.ends[k - 1]) if k else 0) + self.units[k][i - (int(self.sizes[k - 1]) if k else 0)])
+        before, start = (int(self.ends[k - 1]), int(self.sizes[k - 1])) if k else (0, 0)
+        return before + int(self.counter.prefixes(self.units[k])[i - start])
 
     def fit(self, budget: int) -> int:
         """Characters of the longest prefix of at most ``budget`` tokens."""
         k = bisect_right(self.ends, budget)
         # A shorter text may have more tokens than a longer one, so a later unit's first places may fit too.
         for j in range(min(k + 1, len(self.units)) - 1, -1, -1):
-            inside = np.flatnonzero(np.array(self.units[j], np.int64) + (self.ends[j - 1] if j else 0) <= budget)
+            before, start = (int(self.ends[j - 1]), int(self.sizes[j - 1])) if j else (0, 0)
+            inside = np.flatnonzero(self.counter.prefixes(self.units[j]) + before <= budget)
             if len(inside):
-                return int(inside[-1]) + (int(self.sizes[j - 1]) if j else 0)
+                return int(inside[-1]) + start
         return 0
 
 
@@ -248,19 +258,22 @@ _COUNTERS: dict[str, tuple[PrefixCounter, common.UnitTable]] = {}
 
 
 def counter(path: str) -> tuple[PrefixCounter, common.UnitTable]:
+    """The dynamic program, and a table from units to their token counts; one of each for each worker process."""
     if path not in _COUNTERS:
         c = PrefixCounter(path)
+        _COUNTERS[path] = c, common.UnitTable(lambda units: [c.total(u) for u in units], c.total, True, c.special)
+    return _COUNTERS[path]
 
-        def small(counts: np.ndarray) -> array:
-            return array("B" if counts.max() < 256 else "q", counts.tolist())
 
-        _COUNTERS[path] = c, common.UnitTable(lambda units: [small(c.prefixes(u)) for u in units], lambda text: small(c.prefixes(text)), True, c.special)
-    return _COUNTERS[path]
+def counts_of(text: str, path: str) -> Counts:
+    c, table = counter(path)
+    totals = table.look_up([text])[0]
+    return Counts(c, spaced_units(text) if len(totals) > 1 else [text], totals)
 
 
-def counts_of(texts: list[str], path: str) -> list[Counts]:
-    _, table = counter(path)
-    return [Counts(units) for units in table.look_up(texts)]
+def spaced_units(text: str) -> list[str]:
+    first, *rest = text.split(" ")
+    return [first, *(" " + u for u in rest)]
 
 
 def token_counts(df: DataFrame, limit: int, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -269,26 +282,26 @@ def token_counts(df: DataFrame, limit: int, path: str | None = None, id_col: str
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_()), ("n_chars_fit", pa.int64())])
 
     def count(ids: list[int], texts: list[str]) -> list:
-        _, table = counter(path)
+        c, table = counter(path)
         totals, fits = [], []
         for text, units in zip(texts, table.look_up(texts)):
-            n = sum([u[-1] for u in units])
+            n = sum(units)
             totals.append(n)
-            fits.append(len(text) if n <= limit else _fit(units, limit))
+            fits.append(len(text) if n <= limit else _fit(c, text, units, limit))
         return [ids, [len(t.encode("utf-8", "surrogatepass")) for t in texts], totals, [n > limit for n in totals], fits]
 
     return common.null_ids(common.base(df, id_col, text_col).mapInArrow(common.per_slice(count, schema), "doc_id long, n_bytes long, n_tokens long, over_limit boolean, n_chars_fit long"))
 
 
-def _fit(units: list[array], limit: int) -> int:
+def _fit(c: PrefixCounter, text: str, totals: list[int], limit: int) -> int:
     """Counts.fit over the units up to the limit only."""
-    n = 0
-    for k, u in enumerate(units):
-        n += u[-1]
-        if n > limit + 64:
-            units = units[: k + 1]
-            break
-    return Counts(units).fit(limit)
+    if len(totals) == 1:
+        return Counts(c, [text], totals).fit(limit)
+    n = k = 0
+    while k < len(totals) and n <= limit + 64:
+        n += totals[k]
+        k += 1
+    return Counts(c, spaced_units(text)[:k], totals[:k]).fit(limit)
 
 
 def prefix_counts(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
