@@ -11,10 +11,10 @@ A null or empty text has no words and is rejected.  Texts are judged whole.
 
 from __future__ import annotations
 
-import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -123,7 +123,11 @@ def _upper(d: Doc) -> bool:
 
 def _lines(d: Doc) -> bool:
     lines, again = d.lines
-    return 100 * again > 30 * lines
+    return again >= 2 and 100 * again > 30 * lines
+
+
+def _stutter(d: Doc) -> bool:
+    return 100 * sum(map(eq, d.words, d.words[1:])) > 30 * len(d.words)
 
 
 #: The two rules of the base verdict.
@@ -131,11 +135,12 @@ BASE_RULES = (
     Rule("few_words", lambda d: len(d.words) < 20),
     Rule("repeated_windows", lambda d: 100 * d.n_repeat_words > 30 * len(d.words)),
 )
-#: Further rules: share of symbols, capitals, repeated lines, and the mean word.
+#: Further rules: share of symbols, capitals, repeated lines, words said twice running, and the mean word.
 MORE_RULES = (
     Rule("symbols", lambda d: 100 * d.n_symbols > 30 * len(d.words)),
     Rule("capitals", _upper),
     Rule("repeated_lines", _lines),
+    Rule("stutter", _stutter),
     Rule("word_length", lambda d: d.word_chars > 25 * len(d.words) or d.word_chars < 2 * len(d.words)),
 )
 
@@ -232,10 +237,6 @@ def filtered(df: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, t
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measures(common.documents(spark, sf_dir))
 
-
-WORD = r"[^\x20\x09-\x0D]+"
-assert re.fullmatch(WORD, "a")
-
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
@@ -251,11 +252,12 @@ m AS (
          CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(coalesce(f.again, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
          coalesce(f.n, 0) AS n_lines,
+         len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) AS n_stutter,
          length(regexp_replace(text, '[^A-Z]', '', 'g')) AS upper, length(regexp_replace(text, '[^a-z]', '', 'g')) AS lower
   FROM w LEFT JOIN rep ON rep.doc_id = w.doc_id LEFT JOIN full_lines f ON f.doc_id = w.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 100 * n_symbols > 30 * n_words OR upper > lower
-            OR 100 * n_dup_lines > 30 * n_lines OR word_chars > 25 * n_words OR word_chars < 2 * n_words) AS kept
+            OR (n_dup_lines >= 2 AND 100 * n_dup_lines > 30 * n_lines) OR 100 * n_stutter > 30 * n_words OR word_chars > 25 * n_words OR word_chars < 2 * n_words) AS kept
 FROM m
 """

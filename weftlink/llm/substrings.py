@@ -21,6 +21,7 @@ with the same id are not a reference for each other.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -55,9 +56,11 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 def text_hash(text: str) -> int:
+    """Spark's xxhash64 of the text."""
     import xxhash
 
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 7) - 2**63
+    h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 42)
+    return h - 2**64 if h >> 63 else h
 
 
 def word_units(text: str) -> np.ndarray:
@@ -113,8 +116,7 @@ def window_rows(units_of: Callable[[str], np.ndarray], window: int) -> Callable:
 
 def with_row_hash(docs: DataFrame) -> DataFrame:
     """Adds text_hash() of the text: with the id, what the later joins go by."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("row_hash", pa.int64())])
-    return docs.mapInArrow(common.per_slice(lambda ids, texts: [ids, texts, [text_hash(t) for t in texts]], schema), "doc_id long, text string, row_hash long")
+    return docs.withColumn("row_hash", F.xxhash64("text"))
 
 
 def duplicate_spans(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,6 +152,20 @@ def parsed(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: st
     return with_row_hash(common.base(df, id_col, text_col)).join(spans, ["doc_id", "row_hash"], "left")
 
 
+def cut_text(text: str, spans: list[dict]) -> str:
+    """The text without the words in the spans; what stands between kept words stays."""
+    raw = text.encode("utf-8", "surrogatepass")
+    at = [m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    gone = rolling.covered(len(at), [(s["low"], s["high"]) for s in spans])
+    edges = np.flatnonzero(np.diff(np.r_[0, gone.astype(np.int8), 0])).tolist()
+    out, done = [], 0
+    for low, high in zip(edges[::2], edges[1::2]):
+        out.append(raw[done : at[low]])
+        done = at[high] if high < len(at) else len(raw)
+    out.append(raw[done:])
+    return b"".join(out).decode("utf-8", "surrogatepass")
+
+
 def kept_words(text: str, spans: list[dict] | None) -> tuple[list[bytes], int]:
     """The words outside the spans, and the number of words inside."""
     words = text.encode("utf-8", "surrogatepass").split()
