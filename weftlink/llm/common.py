@@ -50,12 +50,17 @@ def null_ids(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.nullif(F.col(n), F.lit(NULL_ID)) for n in (names or ("doc_id",))})
 
 
+#: Stands in for spark.checkpoint.dir where the session names none, as in a test.
+_OWN_DIR: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="weftlink-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not _OWN_DIR:
+            _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="weftlink-"))
+        found = _OWN_DIR[0]
     return found.rstrip("/")
 
 

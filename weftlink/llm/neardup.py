@@ -9,14 +9,17 @@ values too).  Two sets of similarity t miss each other only if no run of shared
 values stands in the union's sketch; for k = 64 that has a probability under
 1e-9 at t = 0.8, and sets that fit in their sketch whole never miss.
 
-Lists of up to ``SHORT`` classes give all their pairs.  A longer list gives
-pairs with its leader only (the class of least rank).  Jaccard distance d is a
-metric, so with t' = 1 - t a member at distance x from the leader can only link
-with members between x - t' and x + t'.  Members that link with the leader
-leave the list unless others stand within 2 t' of it and cannot reach them;
-what is left of a list elects another leader, until lists are short or empty.
-Thus a group of thousands of near copies costs one comparison a member, and no
-pair is given up.
+Lists of up to ``SHORT`` classes give all their pairs.  A longer list (a large
+group of near copies, or a passage that many texts share) elects leaders, first
+one and then four times as many in each round; members are compared with the
+leaders only.  Jaccard distance d is a metric, so with t' = 1 - t a member at
+distance x from a leader can only link with members between x - t' and x + t'.
+A member that links with a leader leaves the list unless others stand within
+2 t' of that leader, do not link with it and may reach the member; leaders
+leave too.  So a group of thousands of near copies costs about one comparison a
+member, and no pair is given up.  Long lists are needed by texts that consist
+mostly of shared matter: a class with less than 1/``FEW`` of its lists long
+shows its links in the short ones and stays out of the others.
 
 A pair's similarity is first estimated from the sketch of the union; pairs whose
 estimate is out of reach (probability of a loss under 1e-9) are dropped, all
@@ -46,7 +49,9 @@ K = 64
 #: Neighbouring retained values that make a key.
 RUN = 3
 #: Classes in a list whose pairs are all taken.
-SHORT = 16
+SHORT = 32
+#: A class whose long lists are less than this part of its lists leaves them out.
+FEW = 16
 #: Chance of losing a pair by its estimate.
 LOSS = 1e-9
 
@@ -162,42 +167,54 @@ def links(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], percen
     reach = 1 - 2 * (1 - t)  # similarity to a leader within which members may still link with its members
     linked = F.col("shared") * 100 >= F.col("total") * percent
     lists = common.saved(keys(classes), "keys")
-    sized = lists.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    now = common.saved(lists.join(sized, "key"), "lists")
-    common.dropped(lists)
-    texts = texts_of(now.select("cls").distinct())
-    found = None
+    # Aggregates are saved before they are joined: only then may Spark split a join's hot keys.
+    sized = common.saved(lists.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "sized")
+    shared = common.saved(lists.join(sized, "key"), "lists")
+    common.dropped(lists, sized)
+    texts = texts_of(shared.select("cls").distinct())
+    # Only classes with more than a few long lists need them: the others' links show in short lists.
+    own = F.least("n", F.lit(k)) - RUN + 1
+    many = common.saved(shared.where(F.col("members") > SHORT).groupBy("cls", "n").agg(F.count(F.lit(1)).alias("hot")).where(F.col("hot") > own / FEW).select("cls"), "many")
+    short = shared.where(F.col("members") <= SHORT)
+    left = common.saved(shared.where(F.col("members") > SHORT).join(many, "cls").select("key", "cls", "n"), "left")
+    found, elected = None, 1
     while True:
+        counted = common.saved(left.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(F.xxhash64("cls").alias("h"), "cls"))["cls"].alias("head")).where("members > 1"), "counted")
+        now = common.saved(left.join(counted, "key"), "lists")
         # All pairs of a short list: at most SHORT - 1 for each entry.
+        short = now.where(F.col("members") <= SHORT) if found is not None else short.unionByName(now.where(F.col("members") <= SHORT).drop("head"))
         pairs = (
-            now.where(F.col("members") <= SHORT)
-            .groupBy("key").agg(F.sort_array(F.collect_list(F.struct("cls", "n"))).alias("m"))
+            short.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("cls", "n"))).alias("m"))
             .select("m", F.explode(F.sequence(F.lit(0), F.size("m") - 2)).alias("i"))
             .select(F.col("m")[F.col("i")].alias("x"), F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("y"))
             .where(F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
             .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.lit(0).alias("wide"))
-        )
-        long = now.where(F.col("members") > SHORT)
-        leaders = long.groupBy("key").agg(F.min(F.struct(F.xxhash64("cls").alias("r"), "cls", "n")).alias("l")).select("key", F.col("l.cls").alias("a"), F.col("l.n").alias("na"))
+        )
+        # Leaders of a long list: its head and, by their hashes, about as many members as this round elects.
+        draw = (F.xxhash64("cls", F.lit(elected)) / F.lit(2.0**64) + 0.5) * F.col("members")
+        long = common.saved(now.where(F.col("members") > SHORT).withColumn("leads", (F.col("cls") == F.col("head")) | (draw < elected - 1)), "long")
+        leaders = common.saved(long.where("leads").select("key", F.col("cls").alias("a"), F.col("n").alias("na")), "leaders")
         led = common.saved(long.join(leaders, "key").where("cls <> a").select("key", "cls", "n", "a", "na"), "led")
         asked = led.where(F.least("n", "na") >= F.greatest("n", "na") * F.lit(reach)).select("a", F.col("cls").alias("b"), F.lit(1).alias("wide"))
         asked = pairs.unionByName(asked).groupBy("a", "b").agg(F.max("wide").alias("wide"))
         near = common.saved(estimated(asked, classes, t, reach, k), "near")
         judged = common.saved(compared(near, texts, width), "judged")
-        found = judged.where(linked).select("a", "b") if found is None else found.unionByName(judged.where(linked).select("a", "b"))
-        common.dropped(near)
+        good = judged.where(linked).select("a", "b")
+        found = good if found is None else found.unionByName(good)
+        common.dropped(near, counted, left)
         if led.isEmpty():
-            common.dropped(now, led)
+            common.dropped(now, long, leaders, led)
             return found
-        seen = judged.select("a", F.col("b").alias("cls"), linked.alias("linked"), (F.col("shared") >= F.col("total") * F.lit(reach)).alias("close"), (F.lit(1) - F.col("shared") / F.col("total")).alias("d"))
-        marked = common.saved(led.join(seen, ["a", "cls"], "left").select("key", "cls", "n", F.coalesce("linked", F.lit(False)).alias("linked"), F.when(F.col("close") & ~F.col("linked"), F.col("d")).alias("border"), "d"), "marked")
-        # A linked member stays only if an unlinked one of its list may still reach it.
-        borders = marked.groupBy("key").agg(F.min("border").alias("border"), F.count(F.when(~F.col("linked"), 1)).alias("open"))
-        left = marked.join(borders.where("open > 0"), "key").where(~F.col("linked") | (F.col("d") >= F.col("border") - F.lit(1 - t) - F.lit(1e-9))).select("key", "cls", "n")
-        counted = left.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-        after = common.saved(left.join(counted, "key"), "lists")
-        common.dropped(now, led, marked)
-        now = after
+        # What is known of members that came close to a leader; the others are further than the reach.
+        seen = judged.select("a", F.col("b").alias("cls"), linked.alias("linked"), (F.col("shared") >= F.col("total") * F.lit(reach)).alias("close"), (F.lit(1) - F.col("shared") / F.col("total")).alias("d")).where("linked or close")
+        marked = common.saved(led.join(seen, ["a", "cls"]).select("key", "a", "cls", "linked", "d"), "marked")
+        nearest = common.saved(marked.where("not linked").groupBy("key", "a").agg(F.min("d").alias("nearest")), "nearest")
+        # A member that links with a leader is done in this list, unless one that does not link with it may reach the member.
+        done = marked.where("linked").join(nearest, ["key", "a"], "left").where(F.col("nearest").isNull() | (F.col("d") < F.col("nearest") - F.lit(1 - t) - F.lit(1e-9))).select("key", "cls")
+        done = common.saved(done.unionByName(leaders.select("key", F.col("a").alias("cls"))).distinct(), "done")
+        left = common.saved(long.select("key", "cls", "n").join(done, ["key", "cls"], "left_anti"), "left")
+        common.dropped(now, long, leaders, led, marked, nearest, done)
+        elected *= 4
 
 
 def components(edges: DataFrame) -> DataFrame:

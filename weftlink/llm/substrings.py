@@ -124,9 +124,10 @@ def duplicate_spans(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, i
     docs = common.base(df, id_col, text_col)
     blocks = common.saved(docs.mapInArrow(block_rows(word_units, window, anchor), BLOCKS), "blocks")
     # Anchors that two documents share; the rest is in no other document.
-    shared = blocks.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
+    # Aggregates are saved before they are joined: only then may Spark split a join's hot keys.
+    shared = common.saved(blocks.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"), "shared")
     index = common.saved(blocks.join(shared, "anchor"), "index")
-    common.dropped(blocks)
+    common.dropped(blocks, shared)
     # The first document of each block, and which of its places.
     firsts = common.saved(index.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "row_hash", "first", "n")).alias("at")), "firsts")
     whole = (
@@ -135,13 +136,13 @@ def duplicate_spans(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, i
         .select("doc_id", "row_hash", F.col("first").alias("low"), (F.col("first") + F.col("n") - 1 + window).alias("high"))
     )
     # Boundaries: one anchor, several contents.
-    several = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").select("anchor")
+    several = common.saved(firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").select("anchor"), "several")
     wanted = firsts.join(several, "anchor").groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.row_hash").alias("row_hash")).agg(F.collect_list(F.struct("anchor", F.col("at.first").alias("first"), F.col("at.n").alias("n"))).alias("blocks"))
     windows = common.saved(
         with_row_hash(docs).join(wanted, ["doc_id", "row_hash"]).mapInArrow(window_rows(word_units, window), "doc_id long, row_hash long, anchor long, seen long, first int"),
         "windows",
     )
-    earliest = windows.groupBy("anchor", "seen").agg(F.min("doc_id").alias("earliest"))
+    earliest = common.saved(windows.groupBy("anchor", "seen").agg(F.min("doc_id").alias("earliest")), "earliest")
     single = windows.join(earliest, ["anchor", "seen"]).where("earliest < doc_id").select("doc_id", "row_hash", F.col("first").alias("low"), (F.col("first") + window).alias("high"))
     return whole.unionByName(single).distinct().groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
 

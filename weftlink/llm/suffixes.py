@@ -213,16 +213,17 @@ def duplicate_spans(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, i
     docs = common.base(df, id_col, text_col)
     key = ["anchor", "content"]
     blocks = common.saved(docs.mapInArrow(block_rows(window, anchor), BLOCKS_SQL), "blocks")
-    shared = blocks.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
+    # Aggregates are saved before they are joined: only then may Spark split a join's hot keys.
+    shared = common.saved(blocks.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"), "shared")
     index = common.saved(blocks.join(shared, "anchor"), "index")
-    common.dropped(blocks)
+    common.dropped(blocks, shared)
     firsts = common.saved(index.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "row_hash", "first", "n", "place", "before", "after")).alias("at")).select(*key, "copies", "at.*"), "firsts")
     whole = index.join(firsts.where("copies > 1").select(*key), key).select("doc_id", "row_hash", F.col("first").alias("low"), (F.col("first") + F.col("n") - 1 + window).alias("high"))
     # Contents that share a side of their anchor with another content.
     sides = firsts.select(*key, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("before").alias("hash")), F.struct(F.lit(1).alias("side"), F.col("after").alias("hash")))).alias("s")).select(*key, "s.side", "s.hash").where("hash <> 0")
-    twice = sides.groupBy("anchor", "side", "hash").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    twice = common.saved(sides.groupBy("anchor", "side", "hash").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "twice")
     partial = common.saved(sides.join(twice, ["anchor", "side", "hash"]).select(*key).distinct(), "partial")
-    per_anchor = partial.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / F.lit(BUFFER)).cast("int").alias("salts"))
+    per_anchor = common.saved(partial.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / F.lit(BUFFER)).cast("int").alias("salts")), "salts")
     wanted = firsts.join(partial, key).join(per_anchor, "anchor").withColumn("salt", F.pmod(F.xxhash64("content"), F.col("salts")).cast("int"))
     wanted = wanted.groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("anchor", "salt", "salts", "first", "n", "place")).alias("blocks"))
     parts = pa.schema([("anchor", pa.int64()), ("salt", pa.int32()), ("salts", pa.int32()), ("doc_id", pa.int64()), ("row_hash", pa.int64()), ("first", pa.int32()), ("n", pa.int32()), ("place", pa.int32()), ("data", pa.binary())])
@@ -240,7 +241,7 @@ def duplicate_spans(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, i
     found = common.saved(cuts.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(sorted_buffers(window), FOUND_SQL), "found")
     spans = found.where("seen is null").select("doc_id", "row_hash", "low", "high")
     across = found.where("seen is not null")
-    several = across.groupBy("anchor", "seen").agg(F.sum("copies").alias("c")).where("c > 1").select("anchor", "seen")
+    several = common.saved(across.groupBy("anchor", "seen").agg(F.sum("copies").alias("c")).where("c > 1").select("anchor", "seen"), "several")
     late = across.where("copies = 1").join(several, ["anchor", "seen"]).select("doc_id", "row_hash", "low", "high")
     return whole.unionByName(spans).unionByName(late).distinct().groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
 
