@@ -227,7 +227,7 @@ def _decode(blocks: list[tuple[bytes, int]], vocabulary: int) -> list[np.ndarray
             i = np.flatnonzero(width[:m] < MIN)
             if not len(i):
                 break
-            code[i] = code[i] << W16 | rest[i, pos[i]]
+            code[i] = code[i] << W16 | rest[i, np.minimum(pos[i], rest.shape[1] - 1)]  # a damaged block may run on
             pos[i] += 1
             width[i] <<= W16
         model.learn(x, m)

@@ -128,16 +128,13 @@ def duplicate_spans(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, i
     shared = common.saved(blocks.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"), "shared")
     index = common.saved(blocks.join(shared, "anchor"), "index")
     common.dropped(blocks, shared)
-    # The first document of each block, and which of its places.
-    firsts = common.saved(index.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "row_hash", "first", "n")).alias("at")), "firsts")
-    whole = (
-        index.join(firsts, ["anchor", "content"])
-        .where(F.col("doc_id") > F.col("at.doc_id"))
-        .select("doc_id", "row_hash", F.col("first").alias("low"), (F.col("first") + F.col("n") - 1 + window).alias("high"))
-    )
+    # The first document of each block; the block may stand there several times.
+    firsts = common.saved(index.groupBy("anchor", "content").agg(F.min("doc_id").alias("earliest")), "firsts")
+    placed = index.join(firsts, ["anchor", "content"])
+    whole = placed.where("doc_id > earliest").select("doc_id", "row_hash", F.col("first").alias("low"), (F.col("first") + F.col("n") - 1 + window).alias("high"))
     # Boundaries: one anchor, several contents.
     several = common.saved(firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").select("anchor"), "several")
-    wanted = firsts.join(several, "anchor").groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.row_hash").alias("row_hash")).agg(F.collect_list(F.struct("anchor", F.col("at.first").alias("first"), F.col("at.n").alias("n"))).alias("blocks"))
+    wanted = placed.where("doc_id = earliest").join(several, "anchor").groupBy("doc_id", "row_hash").agg(F.collect_set(F.struct("anchor", "first", "n")).alias("blocks"))
     windows = common.saved(
         with_row_hash(docs).join(wanted, ["doc_id", "row_hash"]).mapInArrow(window_rows(word_units, window), "doc_id long, row_hash long, anchor long, seen long, first int"),
         "windows",
