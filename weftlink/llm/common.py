@@ -16,6 +16,7 @@ import os
 import re
 import tempfile
 import uuid
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 #: Stands for a null doc_id inside the operators.
 NULL_ID = -(2**63)
 #: Entries of a worker's table of encoded units; the table is emptied beyond it.
-TABLE_SIZE = 400_000
+TABLE_SIZE = 700_000
 #: In a table of units: this text must be encoded whole.
 WHOLE = None
 #: Documents handled at once inside a worker.
@@ -199,13 +200,12 @@ ASCII_CHUNKS = {
 
 
 def library_table(path: str, width: int, spaced: bool) -> UnitTable:
-    """Units to little-endian ids of the given width, by the tokenizers library; one table for each worker process."""
+    """Units to ids of the given width (in the machine's order, little-endian wherever Spark runs), by the tokenizers library; one table for each worker process."""
     key = (path, width, spaced)
     if key not in _TABLES:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
-        import numpy as np
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
@@ -213,13 +213,13 @@ def library_table(path: str, width: int, spaced: bool) -> UnitTable:
         tok.no_padding()
         with open(path, encoding="utf-8") as f:
             special = tuple(x["content"] for x in json.load(f)["added_tokens"])
-        kind = np.dtype(f"<u{width}")
+        kind = {2: "H", 4: "I"}[width]
         pattern, lower = ASCII_CHUNKS.get(os.path.basename(path), (None, False))
         cut = re.compile(pattern, re.ASCII).findall if pattern else None
         chunks: dict[str, bytes] = {}
 
         def library(units: list[str]) -> list[bytes]:
-            return [np.array(e.ids, kind).tobytes() for e in tok.encode_batch_fast(units, add_special_tokens=False)]
+            return [array(kind, e.ids).tobytes() for e in tok.encode_batch_fast(units, add_special_tokens=False)]
 
         def encode(units: list[str]) -> list[bytes]:
             if cut is None:
