@@ -18,7 +18,7 @@ def one(spark, value, expression):
         (text.strip_noise, ">> Acme Pvt. Ltd.", "acme"),
         (text.plain, "A&B  Café", "a and b caf"),
         (text.spaced, " A-&B ", "a  b"),
-        (text.alpha_stripped, "Acme Solutions Inc", "acme"),
+        (text.alpha_stripped, "Acme Solutions Inc", "acmesolutions"),
         (text.domain_stem, "see My-Shop.com now", "myshop"),
         (text.postal, "12 Main 75001 x 400051", "75001"),
         (text.street_not_postal, "75001 paris 14 rue", "14"),
