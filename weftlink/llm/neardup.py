@@ -10,16 +10,17 @@ values stands in the union's sketch; for k = 64 that has a probability under
 1e-9 at t = 0.8, and sets that fit in their sketch whole never miss.
 
 Lists of up to ``SHORT`` classes give all their pairs.  A longer list (a large
-group of near copies, or a passage that many texts share) elects leaders, first
-one and then four times as many in each round; members are compared with the
-leaders only.  Jaccard distance d is a metric, so with t' = 1 - t a member at
-distance x from a leader can only link with members between x - t' and x + t'.
-A member that links with a leader leaves the list unless others stand within
-2 t' of that leader, do not link with it and may reach the member; leaders
-leave too.  So a group of thousands of near copies costs about one comparison a
-member, and no pair is given up.  Long lists are needed by texts that consist
-mostly of shared matter: a class with less than 1/``FEW`` of its lists long
-shows its links in the short ones and stays out of the others.
+group of near copies, or a passage that many texts share) is worked off by
+components: members that found links already connect need no comparison, so
+leaders are elected among those outside the list's largest component (first the
+member with most long lists, then four times as many in each round), compared
+with the members of other components, and leave.  The list ends when one
+component is left.  So a group of thousands of near copies costs about one
+comparison a member, and no pair is given up.  Long lists are needed by texts
+that consist mostly of shared matter: a class with less than 1/``FEW`` of its
+lists long shows its links in the short ones and stays out of the others (for
+a pair at the threshold that differs in all its other matter, the chance of a
+loss is under 1e-4).
 
 A pair's similarity is first estimated from the sketch of the union; pairs whose
 estimate is out of reach (probability of a loss under 1e-9) are dropped, all
@@ -51,7 +52,7 @@ RUN = 3
 #: Classes in a list whose pairs are all taken.
 SHORT = 32
 #: A class whose long lists are less than this part of its lists leaves them out.
-FEW = 16
+FEW = 8
 #: Chance of losing a pair by its estimate.
 LOSS = 1e-9
 
@@ -117,28 +118,27 @@ def keys(classes: DataFrame, run: int = RUN) -> DataFrame:
     return classes.select("cls", "n", "sketch").mapInArrow(invert, "key long, cls long, n long")
 
 
-def estimated(pairs: DataFrame, classes: DataFrame, threshold: float, reach: float, k: int = K) -> DataFrame:
-    """The pairs (a, b) whose union sketch does not rule out the threshold, or for wide pairs the reach."""
-    limits = [(x, {m: least_overlap(m, x) for m in range(1, k + 1)}) for x in (threshold, reach)]
+def estimated(pairs: DataFrame, classes: DataFrame, threshold: float, k: int = K) -> DataFrame:
+    """The pairs (a, b) whose union sketch does not rule the threshold out."""
+    least = least_overlap(k, threshold)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
-            for wide, n1, s1, n2, s2 in zip(*(b.column(c).to_pylist() for c in ("wide", "na", "sa", "nb", "sb"))):
-                limit, least = limits[wide]
+            for n1, s1, n2, s2 in zip(*(b.column(c).to_pylist() for c in ("na", "sa", "nb", "sb"))):
                 x, y = np.frombuffer(s1, np.uint64), np.frombuffer(s2, np.uint64)
                 both = np.intersect1d(x, y, assume_unique=True)
                 if n1 <= k and n2 <= k:  # whole sets: exact
-                    keep.append(len(both) >= limit * (n1 + n2 - len(both)) - 1e-9)
+                    keep.append(len(both) >= threshold * (n1 + n2 - len(both)) - 1e-9)
                     continue
                 # Values past the shorter sketch's end say nothing: the k-th of the union is the last that counts.
                 end = np.partition(np.r_[x, np.setdiff1d(y, both, assume_unique=True)], k - 1)[k - 1]
-                keep.append(int(np.searchsorted(both, end, "right")) >= least[k])
+                keep.append(int(np.searchsorted(both, end, "right")) >= least)
             yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
     left = classes.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = classes.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "wide", "na", "sa", "nb", "sb").mapInArrow(near, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(near, "a long, b long")
 
 
 def compared(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -163,58 +163,56 @@ def compared(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 
 def links(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], percent: int, width: int, k: int = K) -> DataFrame:
     """(a, b) of classes with 100 * intersection >= percent * union, enough of them to connect all that are linked."""
-    t = percent / 100
-    reach = 1 - 2 * (1 - t)  # similarity to a leader within which members may still link with its members
-    linked = F.col("shared") * 100 >= F.col("total") * percent
     lists = common.saved(keys(classes), "keys")
     # Aggregates are saved before they are joined: only then may Spark split a join's hot keys.
     sized = common.saved(lists.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "sized")
     shared = common.saved(lists.join(sized, "key"), "lists")
     common.dropped(lists, sized)
     texts = texts_of(shared.select("cls").distinct())
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that link."""
+        near = common.saved(estimated(pairs.distinct(), classes, percent / 100, k), "near")
+        good = common.saved(compared(near, texts, width).where(F.col("shared") * 100 >= F.col("total") * percent).select("a", "b"), "links")
+        common.dropped(near)
+        return good
+
+    fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    # All pairs of the short lists: at most SHORT - 1 for each entry.
+    pairs = (
+        shared.where(F.col("members") <= SHORT)
+        .groupBy("key").agg(F.sort_array(F.collect_list(F.struct("cls", "n"))).alias("l"))
+        .select("l", F.explode(F.sequence(F.lit(0), F.size("l") - 2)).alias("i"))
+        .select(F.col("l")[F.col("i")].alias("x"), F.explode(F.slice("l", F.col("i") + 2, F.size("l"))).alias("y"))
+        .select(F.col("x.cls").alias("a"), F.col("x.n").alias("n"), F.col("y.cls").alias("b"), F.col("y.n").alias("m"))
+    )
+    found = linked(pairs.where(fits).select("a", "b"))
     # Only classes with more than a few long lists need them: the others' links show in short lists.
     own = F.least("n", F.lit(k)) - RUN + 1
-    many = common.saved(shared.where(F.col("members") > SHORT).groupBy("cls", "n").agg(F.count(F.lit(1)).alias("hot")).where(F.col("hot") > own / FEW).select("cls"), "many")
-    short = shared.where(F.col("members") <= SHORT)
-    left = common.saved(shared.where(F.col("members") > SHORT).join(many, "cls").select("key", "cls", "n"), "left")
-    found, elected = None, 1
-    while True:
-        counted = common.saved(left.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(F.xxhash64("cls").alias("h"), "cls"))["cls"].alias("head")).where("members > 1"), "counted")
-        now = common.saved(left.join(counted, "key"), "lists")
-        # All pairs of a short list: at most SHORT - 1 for each entry.
-        short = now.where(F.col("members") <= SHORT) if found is not None else short.unionByName(now.where(F.col("members") <= SHORT).drop("head"))
-        pairs = (
-            short.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("cls", "n"))).alias("m"))
-            .select("m", F.explode(F.sequence(F.lit(0), F.size("m") - 2)).alias("i"))
-            .select(F.col("m")[F.col("i")].alias("x"), F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("y"))
-            .where(F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
-            .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.lit(0).alias("wide"))
-        )
-        # Leaders of a long list: its head and, by their hashes, about as many members as this round elects.
+    long = shared.where(F.col("members") > SHORT)
+    many = common.saved(long.groupBy("cls", "n").agg(F.count(F.lit(1)).alias("hot")).where(F.col("hot") > own / FEW).select("cls", "hot"), "many")
+    left = common.saved(long.join(many, "cls").select("key", "cls", "n", "hot"), "left")
+    common.dropped(shared, many)
+    elected = 1
+    while not left.isEmpty():
+        labels = common.saved(components(found), "labels")
+        named = common.saved(left.join(labels, left["cls"] == labels["node"], "left").select("key", "cls", "n", "hot", F.coalesce("label", "cls").alias("label")), "named")
+        # The list's largest component, and its head: the member with most long lists, the likely centre.
+        parts = common.saved(named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("hot", F.xxhash64("cls").alias("h"), "cls")).alias("top")), "parts")
+        open_ = parts.groupBy("key").agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.max("top")["cls"].alias("head"), F.sum("c").alias("members"), F.count(F.lit(1)).alias("labels"))
+        open_ = common.saved(open_.where("labels > 1").select("key", "main", "head", F.col("members")), "open")
+        now = common.saved(named.join(open_, "key"), "now")
+        # Leaders: the head, and of those outside the largest component about as many as this round elects.
         draw = (F.xxhash64("cls", F.lit(elected)) / F.lit(2.0**64) + 0.5) * F.col("members")
-        long = common.saved(now.where(F.col("members") > SHORT).withColumn("leads", (F.col("cls") == F.col("head")) | (draw < elected - 1)), "long")
-        leaders = common.saved(long.where("leads").select("key", F.col("cls").alias("a"), F.col("n").alias("na")), "leaders")
-        led = common.saved(long.join(leaders, "key").where("cls <> a").select("key", "cls", "n", "a", "na"), "led")
-        asked = led.where(F.least("n", "na") >= F.greatest("n", "na") * F.lit(reach)).select("a", F.col("cls").alias("b"), F.lit(1).alias("wide"))
-        asked = pairs.unionByName(asked).groupBy("a", "b").agg(F.max("wide").alias("wide"))
-        near = common.saved(estimated(asked, classes, t, reach, k), "near")
-        judged = common.saved(compared(near, texts, width), "judged")
-        good = judged.where(linked).select("a", "b")
-        found = good if found is None else found.unionByName(good)
-        common.dropped(near, counted, left)
-        if led.isEmpty():
-            common.dropped(now, long, leaders, led)
-            return found
-        # What is known of members that came close to a leader; the others are further than the reach.
-        seen = judged.select("a", F.col("b").alias("cls"), linked.alias("linked"), (F.col("shared") >= F.col("total") * F.lit(reach)).alias("close"), (F.lit(1) - F.col("shared") / F.col("total")).alias("d")).where("linked or close")
-        marked = common.saved(led.join(seen, ["a", "cls"]).select("key", "a", "cls", "linked", "d"), "marked")
-        nearest = common.saved(marked.where("not linked").groupBy("key", "a").agg(F.min("d").alias("nearest")), "nearest")
-        # A member that links with a leader is done in this list, unless one that does not link with it may reach the member.
-        done = marked.where("linked").join(nearest, ["key", "a"], "left").where(F.col("nearest").isNull() | (F.col("d") < F.col("nearest") - F.lit(1 - t) - F.lit(1e-9))).select("key", "cls")
-        done = common.saved(done.unionByName(leaders.select("key", F.col("a").alias("cls"))).distinct(), "done")
-        left = common.saved(long.select("key", "cls", "n").join(done, ["key", "cls"], "left_anti"), "left")
-        common.dropped(now, long, leaders, led, marked, nearest, done)
-        elected *= 4
+        leads = (F.col("cls") == F.col("head")) | ((F.col("label") != F.col("main")) & (draw < elected - 1))
+        leaders = common.saved(now.where(leads).select("key", F.col("cls").alias("a"), F.col("n").alias("m"), F.col("label").alias("of")), "leaders")
+        asked = now.join(leaders, "key").where("label <> of").where(fits).select("a", F.col("cls").alias("b"))
+        good = linked(asked)
+        found = common.saved(found.unionByName(good).distinct(), "links")
+        after = common.saved(now.select("key", "cls", "n", "hot").join(leaders.select("key", F.col("a").alias("cls")), ["key", "cls"], "left_anti"), "left")
+        common.dropped(left, labels, named, parts, open_, now, leaders, good)
+        left, elected = after, elected * 4
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
