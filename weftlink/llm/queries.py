@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftlink.llm import neardup, packing, pieces, quality, sharding, substrings, suffixes, token_counts, tokenfile
+from weftlink.llm import neardup, packing, pieces, quality, search, sharding, substrings, suffixes, token_counts, tokenfile
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_counts": token_counts.op3,
         "op4_token_id_output": tokenfile.op4,
         "op5_minhash_near_dedup": neardup.op5,
+        "op6_bm25_search": search.op6,
         "op7_substring_dedup": substrings.op7,
         "op8_suffix_array_dedup": suffixes.op8,
         "op9_sentencepiece": pieces.op9,
