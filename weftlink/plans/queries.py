@@ -277,14 +277,14 @@ def q_provenance(spark, sf):
 
 def _prelim(kind: str, formula: str) -> None:
     def run(spark, sf):
-        return pairs(spark, sf).select("s1", "cid", r6(scoring.prelim(kind)).alias("score"))
+        return pairs(spark, sf).select("s1", "cid", r6(scoring.prelim(kind) + 1e-9).alias("score"))
 
     run.__name__ = f"q_prelim_{kind}"
     nj, aj = _JAC.format("x.nt", "y.nt", "0.0"), _JAC.format("x.ats", "y.ats", "0.0")
     known, hit = "(len(x.nums) > 0 AND len(y.nums) > 0)", "len(list_intersect(x.nums, y.nums)) > 0"
     body = formula.format(nj=nj, aj=aj, known=known, hit=hit, alike="(CASE WHEN x.al <> '' AND x.al = y.al THEN 1.0 ELSE 0.0 END)")
     al = f"al AS (SELECT t.*, regexp_replace({_strip_sql('sn')}, '[^a-z0-9]', '', 'g') AS al FROM (SELECT t.*, {_SPACED.format('e.name')} AS sn FROM t JOIN e USING (id)) t)"
-    query(f"WITH {_NAME}, {al} SELECT c.s1, c.cid, round({body}, 6) AS score FROM c_name c JOIN al x ON x.id = c.s1 JOIN al y ON y.id = c.cid")(run)
+    query(f"WITH {_NAME}, {al} SELECT c.s1, c.cid, round({body} + 1e-9, 6) AS score FROM c_name c JOIN al x ON x.id = c.s1 JOIN al y ON y.id = c.cid")(run)
 
 
 def _strip_sql(c: str) -> str:
