@@ -13,7 +13,7 @@ Lists of up to ``SHORT`` classes give all their pairs.  A longer list (a large
 group of near copies, or a passage that many texts share) is worked off by
 components: members that found links already connect need no comparison, so
 leaders are elected among those outside the list's largest component (first the
-member with most long lists, then four times as many in each round), compared
+member with most long lists, then ``GROWTH`` times as many in each round), compared
 with the members of other components, and leave.  The list ends when one
 component is left.  So a group of thousands of near copies costs about one
 comparison a member, and no pair is given up.  Long lists are needed by texts
@@ -53,6 +53,8 @@ RUN = 3
 SHORT = 32
 #: A class whose long lists are less than this part of its lists leaves them out.
 FEW = 8
+#: Times as many leaders in each round.
+GROWTH = 64
 #: Chance of losing a pair by its estimate.
 LOSS = 1e-9
 
@@ -211,7 +213,7 @@ def links(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], percen
         found = common.saved(found.unionByName(good).distinct(), "links")
         after = common.saved(now.select("key", "cls", "n", "hot").join(leaders.select("key", F.col("a").alias("cls")), ["key", "cls"], "left_anti"), "left")
         common.dropped(left, labels, named, parts, open_, now, leaders, good)
-        left, elected = after, elected * 4
+        left, elected = after, elected * GROWTH
     return found
 
 
