@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -42,12 +43,16 @@ def jaro_winkler_of(a: str, b: str, max_len: int | None = None, prefix: str = "r
         reach = max(reach, 0)
     used = bytearray(len(b))
     left = []
+    # Windows only move on and the first free place is taken, so a character's earlier places never come back.
+    places: dict[str, list[int]] = {}
+    for j in range(len(b) - 1, -1, -1):
+        places.setdefault(b[j], []).append(j)
     for i, x in enumerate(a):
-        at = b.find(x, max(0, i - reach), max(0, min(i + reach + 1, len(b))))
-        while at >= 0 and used[at]:
-            at = b.find(x, at + 1, max(0, min(i + reach + 1, len(b))))
-        if at >= 0:
-            used[at] = 1
+        free = places.get(x)
+        while free and free[-1] < i - reach:
+            free.pop()
+        if free and free[-1] <= i + reach:
+            used[free.pop()] = 1
             left.append(x)
     if not left:
         return 0.0
@@ -62,9 +67,17 @@ def jaro_winkler_of(a: str, b: str, max_len: int | None = None, prefix: str = "r
 
 
 def lcs_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a bit-parallel row at a time."""
-    if not a or not b:
-        return 0
+    """Length of the longest common subsequence, a bit-parallel row at a time; common ends count as they are."""
+    if a == b:
+        return len(a)
+    if len(a) < len(b):
+        a, b = b, a
+    head = _common(a, b)
+    a, b = a[head:], b[head:]
+    tail = _common(a[::-1], b[::-1])
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    if not b:
+        return head + tail
     masks: dict[str, int] = {}
     for i, x in enumerate(a):
         masks[x] = masks.get(x, 0) | 1 << i
@@ -73,7 +86,12 @@ def lcs_length(a: str, b: str) -> int:
     for y in b:
         u = row & masks.get(y, 0)
         row = (row + u | row - u) & full
-    return len(a) - row.bit_count()
+    return head + tail + len(a) - row.bit_count()
+
+
+def _common(a: str, b: str) -> int:
+    """Length of the common prefix."""
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
 def _pairs(f: Callable[[str, str], float]) -> Callable[[Column, Column], Column]:
@@ -127,11 +145,42 @@ def token_set_ratio(a: Column, b: Column) -> Column:
     return _pairs(_token_set)(a, b)
 
 
+def best_ratio(word: str, others: dict[int, list[str]]) -> float:
+    """The best ratio of a word with words that differ from it, given by length; lengths are taken while they can still win."""
+    n, best = len(word), 0.0
+    for m in sorted(others, key=lambda m: abs(n - m) / (n + m)):
+        if 2.0 * min(n, m) / (n + m) <= best:
+            break
+        best = max(best, *(_word_ratio(word, w) if word < w else _word_ratio(w, word) for w in others[m]))
+    return best
+
+
+@lru_cache(1 << 18)
+def _word_ratio(a: str, b: str) -> float:
+    return ratio(a, b)
+
+
+def monge_elkan_of(a: str, b: str) -> float:
+    """Mean, over all words of a, of the best ratio with a word of b; each distinct word is compared once."""
+    s, t = a.split(), set(b.split())
+    if not s or not t:
+        return 0.0
+    others: dict[int, list[str]] = {}
+    for w in t:
+        others.setdefault(len(w), []).append(w)
+    best = {w: 1.0 if w in t else best_ratio(w, others) for w in set(s)}
+    return sum(best[w] for w in s) / len(s)
+
+
 def monge_elkan(a: Column, b: Column) -> Column:
-    """Mean, over the words of a, of the best ratio with a word of b."""
+    return _pairs(monge_elkan_of)(a, b)
+
+
+def gram_cosine_of(a: str, b: str, n: int = 3) -> float:
+    """Set cosine of the n-grams, spaces as underscores: both without 1, one without 0."""
+    s, t = ({x[i : i + n] for i in range(len(x) - n + 1)} for x in (a.replace(" ", "_"), b.replace(" ", "_")))
+    return len(s & t) / (len(s) * len(t)) ** 0.5 if s and t else float(not s and not t)
 
-    def mean(x: str, y: str) -> float:
-        s, t = x.split(), y.split()
-        return sum(max(_full(p, q) for q in t) for p in s) / len(s) if s and t else 0.0
 
-    return _pairs(mean)(a, b)
+def gram_cosine(a: Column, b: Column) -> Column:
+    return _pairs(gram_cosine_of)(a, b)

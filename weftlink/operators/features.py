@@ -12,6 +12,11 @@ from weftlink.operators.scoring import side
 #: Column groups of the ablation: the first 10, 12, 18 and all features.
 GROUPS = {"name": 10, "name_tokens": 12, "address": 18, "all": 28}
 NAMES = [f"f{i:02d}" for i in range(28)]
+#: What the vectors read of a record.
+FIELDS = {
+    "unified": ["id", "country", "clean_name", "clean_addr", "name_tokens", "expanded", "street", "postal", "digits", "suffix"],
+    "core": ["id", "country", "clean_name", "clean_addr", "name_tokens", "postal", "digits"],
+}
 
 
 def _flag(c: Column) -> Column:
@@ -72,14 +77,15 @@ def core() -> list[Column]:
     d1, d2 = side("digits")
     k1, k2 = F.size(text.words(n1)), F.size(text.words(n2))
     c1, c2 = F.length(n1), F.length(n2)
+    indel = udfs.indel_ratio(n1, n2)
     values = [
-        udfs.indel_ratio(n1, n2),
+        indel,
         F.col("jw"),
         udfs.monge_elkan(n1, n2),
         udfs.token_sort_ratio(n1, n2),
         udfs.token_set_ratio(n1, n2),
-        udfs.lcs_ratio(n1, n2),
-        S.set_cosine(F.array_distinct(text.ngrams(n1, 3)), F.array_distinct(text.ngrams(n2, 3))),
+        F.when((n1 == "") | (n2 == ""), F.lit(0.0)).otherwise(indel),
+        udfs.gram_cosine(n1, n2),
         S.jaccard(text.word_set(a1), text.word_set(a2)),
         S.jaccard(d1, d2, one=0.5),
         S.agreement(*side("postal")),

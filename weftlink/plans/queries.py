@@ -54,6 +54,12 @@ def pairs(spark: SparkSession, sf: str, *channels: Channel) -> DataFrame:
     return blocking.joined(blocking.candidates(r, r, channels or (NAME,)), r, r)
 
 
+def spread(spark: SparkSession, r: DataFrame, fields: list[str]) -> DataFrame:
+    """Name-token pairs of r with these fields, dealt over all shuffle partitions; by bytes alone few tasks would get all the UDFs' work."""
+    slim = r.select(*fields)
+    return blocking.joined(blocking.candidates(r, r, [NAME]), slim, slim).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "s1", "cid")
+
+
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """(s1, cid, score): name-token candidates and the Jaccard similarity of their tokens."""
     return pairs(spark, sf).select("s1", "cid", S.jaccard(*scoring.side("name_tokens")).alias("score"))
@@ -359,9 +365,8 @@ def q_features_28d(spark, sf):
 
 @query()
 def q_features_core(spark, sf):
-    r = normalised(entities(spark, sf).withColumn("business_address", F.regexp_extract("business_address", r"^[^\n]*", 0)), "contracting")
-    p = blocking.joined(blocking.candidates(r, r, [Channel("name", "name_tokens", 20)]), r, r)
-    return features.extract(p, "core").select("s1", "cid", *(r6(n).alias(n) for n in features.NAMES))
+    r = records(spark, sf, "contracting")
+    return features.extract(spread(spark, r, features.FIELDS["core"]), "core").select("s1", "cid", *(r6(n).alias(n) for n in features.NAMES))
 
 
 def _match(preset: str) -> None:
