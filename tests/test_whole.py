@@ -21,6 +21,12 @@ def test_features_core_reads_whole_addresses_and_caps_at_60(spark, tmp_path):
     assert ("2", "31") in got
 
 
+def test_monge_elkan_reads_whole_names(spark, tmp_path):
+    pad = " ".join(["padding"] * 20)
+    got = {(r["s1"], r["cid"]): r["sim"] for r in QUERIES["sim_monge_elkan"](spark, corpus(spark, tmp_path, [f"{pad} xxxx", f"{pad} zzzz"])).collect()}
+    assert got["0", "1"] == round(20 / 21, 6)
+
+
 def test_kernels_equal_plain_forms():
     texts = ["", "a", "alpha beta", "beta alpha gamma", "alpah betta", "aab abab baa", "gamma"]
 

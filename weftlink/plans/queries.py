@@ -339,7 +339,11 @@ _similar("sim_digits", lambda: S.jaccard(*scoring.side("digits"), one=0.5), "CAS
 _similar("sim_prefix", lambda: S.prefix_share(*scoring.side("clean_name")), "CASE WHEN least(length(x.cn), length(y.cn)) = 0 THEN 0.0 ELSE list_sum(list_transform(range(1, least(length(x.cn), length(y.cn), 4) + 1), lambda i: CASE WHEN substr(x.cn, i, 1) = substr(y.cn, i, 1) THEN 1.0 ELSE 0.0 END)) / least(length(x.cn), length(y.cn), 4) END")
 _similar("sim_jaro_winkler", lambda: udfs.jaro_winkler(F.col("l.clean_name"), F.col("r.clean_name"), 40, "any"), None)
 _similar("sim_lcs", lambda: udfs.lcs_ratio(F.col("l.clean_name"), F.col("r.clean_name")), None)
-_similar("sim_monge_elkan", lambda: udfs.monge_elkan(F.left(F.col("l.clean_name"), F.lit(100)), F.left(F.col("r.clean_name"), F.lit(100))), None)
+
+
+@query()
+def q_sim_monge_elkan(spark, sf):
+    return spread(spark, records(spark, sf), ["id", "clean_name"]).select("s1", "cid", r6(udfs.monge_elkan(*scoring.side("clean_name"))).alias("sim"))
 
 
 @query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id + 1 = b.vec_id")
