@@ -2,7 +2,10 @@
 
 import math
 
+from pyspark.sql import functions as F
+
 from weftlink.functions import udfs
+from weftlink.plans import queries
 from weftlink.plans.queries import QUERIES
 
 
@@ -27,6 +30,23 @@ def test_monge_elkan_reads_whole_names(spark, tmp_path):
     assert got["0", "1"] == round(20 / 21, 6)
 
 
+def test_gbt_match_predicts_all_candidates_and_knows_all_copies(spark, tmp_path, monkeypatch):
+    class Stub:
+        @classmethod
+        def fit(cls, data, rounds, depth, **more):
+            assert rounds >= 250 and depth >= 6
+            return cls()
+
+        def predict(self, data):
+            return data.withColumn("p", F.lit(1.0))
+
+    monkeypatch.setattr(queries, "Matcher", Stub)
+    rows = ["Copied Words", "copied words", "COPIED words!"] + [f"Sharedword own{i}" for i in range(30)]
+    got = {(r["s1"], r["cid"]): r["label"] for r in QUERIES["gbt_match"](spark, corpus(spark, tmp_path, rows)).collect()}
+    assert [got[a, b] for a, b in (("0", "1"), ("0", "2"), ("1", "2"), ("2", "1"))] == [1] * 4
+    assert got["3", "32"] == 0 and len(got) == 6 + 30 * 29
+
+
 def test_kernels_equal_plain_forms():
     texts = ["", "a", "alpha beta", "beta alpha gamma", "alpah betta", "aab abab baa", "gamma"]
 

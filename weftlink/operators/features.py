@@ -110,13 +110,13 @@ def core() -> list[Column]:
     return [v.cast("double").alias(n) for v, n in zip(values, NAMES)]
 
 
-def extract(pairs: DataFrame, kind: str = "unified") -> DataFrame:
-    """(s1, cid, f00..f27); NaN counts as 0."""
+def extract(pairs: DataFrame, kind: str = "unified", keep: list[str] | None = None) -> DataFrame:
+    """(s1, cid, the kept columns, f00..f27); NaN counts as 0."""
     from weftlink.operators.scoring import with_kernels
 
     p = with_kernels(pairs, None, "run")
     columns = unified() if kind == "unified" else core()
-    return p.select("s1", "cid", *columns).na.fill(0.0, NAMES)
+    return p.select("s1", "cid", *(keep or []), *columns).na.fill(0.0, NAMES)
 
 
 def audit(features: DataFrame) -> DataFrame:
