@@ -1,18 +1,16 @@
-"""Substring dedup as a relative Lempel-Ziv parse.
+"""Substring dedup by joins of block and window hashes, in place of a relative Lempel-Ziv parse.
 
 The reference of a document is every document with a smaller id.  Reference
 and document are cut alike, at anchors that the content itself sets (see
 ``rolling.blocks``), and every block of every document is indexed by anchor and
-content.  The parse takes a document's blocks one after the other: a block that
-the reference holds goes into the running factor as a whole.  At a factor's
-boundaries, where a block with the same anchor differs in content, the block's
-windows are looked up one by one.  Factors are at least one window long; the
-words they cover are the duplicate spans.
+content.  A block that the reference holds is a span as a whole.  Where a block
+with the same anchor differs in content, the block's windows are looked up one
+by one.  There is no running factor; spans are merged where they are cut out.
 
 All groupings are sums, minima and joins on 128 bits of hash; no group of
 blocks is gathered in one place, so a passage may stand in any share of the
 documents.  Every step's rows are at most the blocks of the input, or the
-windows of blocks at factor boundaries.
+windows of blocks that differ under one anchor.
 
 Null and empty texts, and texts shorter than a window, lose nothing.  Documents
 with the same id are not a reference for each other.
