@@ -56,9 +56,11 @@ _OWN_DIR: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; only a local session, as in a test, does without."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         if not _OWN_DIR:
             _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="weftlink-"))
         found = _OWN_DIR[0]
@@ -76,6 +78,12 @@ def saved(df: DataFrame, name: str, partitions: list[str] | None = None) -> Data
     return back
 
 
+def like(df: DataFrame, table: DataFrame) -> DataFrame:
+    """df, a view of a table made by saved(), so that dropped() finds the table."""
+    df._weftlink_path = table._weftlink_path
+    return df
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables made by saved() that nothing will read again."""
     for df in tables:

@@ -1,37 +1,38 @@
 """Near-duplicate components from bottom-k sketches.
 
 A document's set is that of its word shingles, hashed by one 64-bit function;
-its sketch is the ``k`` least hashes.  Documents with equal sets are one class
-from the start, so copies never meet.  The retained values are listed inverted,
-keyed by runs of ``RUN`` neighbouring ones (a run that two sketches share is an
-overlap of that many values; a set of up to ``RUN`` x 2 values lists the single
-values too).  Two sets of similarity t miss each other only if no run of shared
-values stands in the union's sketch; for k = 64 that has a probability under
-1e-9 at t = 0.8, and sets that fit in their sketch whole never miss.
-
-Lists of up to ``SHORT`` classes give all their pairs.  A longer list (a large
-group of near copies, or a passage that many texts share) is worked off by
-components: members that found links already connect need no comparison, so
-leaders are elected among those outside the list's largest component (first the
-member with most long lists, then ``GROWTH`` times as many in each round), compared
-with the members of other components, and leave.  The list ends when one
-component is left.  So a group of thousands of near copies costs about one
-comparison a member, and no pair is given up.  Long lists are needed by texts
-that consist mostly of shared matter: a class with less than 1/``FEW`` of its
-lists long shows its links in the short ones and stays out of the others (for
-a pair at the threshold that differs in all its other matter, the chance of a
-loss is under 1e-4).
+its sketch is the ``k`` least hashes.  Rows with equal sets are one class from
+the start, so copies never meet.  Each retained value has an inverted list of
+the classes that retain it.
+
+Of two sets at the threshold, at least ``need`` of the union's k least values
+stand in both sketches, but for a chance of ``LOSS`` (sets that fit whole: for
+certain).  So a class with fewer than ``need`` values that any other class
+retains has no partner, and two partners meet in the list of at least one of
+their ``shared - need + 1`` rarest shared values, whatever the rest is: a passage
+that many texts share is among the commonest values of each, and texts that it
+does not fill never meet there.  Only these prefixes are listed.
+
+Lists of up to ``SHORT`` classes give all their pairs.  In a longer one every
+class meets the list's leader, the one with most of the common values, so a
+group of near copies is connected by one comparison a member.  What stays
+outside a list's largest component after that meets the members of the other
+components in blocks of bounded size, whole sets against whole sets, and only
+links that join two components leave a block.  No pair that shares a list goes
+unexamined unless its classes are already connected.
 
 A pair's similarity is first estimated from the sketch of the union; pairs whose
-estimate is out of reach (probability of a loss under 1e-9) are dropped, all
+estimate is out of reach (probability of a loss under ``LOSS``) are dropped, all
 others are computed from the full sets.  Components come from rounds of
 hooking and pointer jumping over the links, with the labels written out between
 rounds.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z.  A document with fewer
 words than a shingle has the whole sequence as its only one; without words (or
-text) the set is empty and links with nothing.  Rows that share a doc_id share a
-component.
+text) the set is empty and links with nothing.  Rows are judged by their texts:
+rows with one doc_id and different texts are joined by their similarity alone,
+and rows with equal sets share a component.  Ties go by doc_id, then by a hash
+of the text.
 """
 
 from __future__ import annotations
@@ -47,16 +48,12 @@ from pyspark.sql import functions as F
 from weftlink.llm import common, rolling, substrings
 
 K = 64
-#: Neighbouring retained values that make a key.
-RUN = 3
 #: Classes in a list whose pairs are all taken.
 SHORT = 32
-#: A class whose long lists are less than this part of its lists leaves them out.
-FEW = 8
-#: Times as many leaders in each round.
-GROWTH = 64
-#: Chance of losing a pair by its estimate.
+#: Chance of losing a pair at the threshold by its sketches.
 LOSS = 1e-9
+#: Classes, and shingles, of the two sides of a block (a single larger class makes a block of its own).
+ASKING, ASKED, WEIGHT = 512, 2048, 1 << 20
 
 
 def shingles(text: str, width: int) -> np.ndarray:
@@ -78,57 +75,65 @@ def least_overlap(k: int, threshold: float, loss: float = LOSS) -> int:
     return k
 
 
-SKETCH = "doc_id long, row_hash long, n long, set_hash long, set_hash2 long, sketch binary"
+SKETCH = "doc_id long, row_hash long, n long, set_hash long, set_hash2 long, sketch array<long>"
 
 
 def sketches(df: DataFrame, width: int, k: int = K) -> DataFrame:
-    """One row for each document: the set's size, two hashes of it, and its k least values (little-endian, ascending)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("row_hash", pa.int64()), ("n", pa.int64()), ("set_hash", pa.int64()), ("set_hash2", pa.int64()), ("sketch", pa.binary())])
+    """One row for each document: the set's size, two hashes of it, and its k least values (as unsigned, ascending)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row_hash", pa.int64()), ("n", pa.int64()), ("set_hash", pa.int64()), ("set_hash2", pa.int64()), ("sketch", pa.list_(pa.int64()))])
 
     def sketch(ids: list[int], texts: list[str]) -> list:
         import xxhash
 
-        rows = []
+        rows, kept = [], []
         for t in texts:
             s = shingles(t, width)
             whole = s.tobytes()
-            rows.append((substrings.text_hash(t), len(s), xxhash.xxh64_intdigest(whole, 1) - 2**63, xxhash.xxh64_intdigest(whole, 2) - 2**63, whole[: 8 * k]))
-        return [ids, *([r[i] for r in rows] for i in range(5))]
+            rows.append((substrings.text_hash(t), len(s), xxhash.xxh64_intdigest(whole, 1) - 2**63, xxhash.xxh64_intdigest(whole, 2) - 2**63))
+            kept.append(s[:k].view(np.int64))
+        ends = np.cumsum([0, *map(len, kept)]).astype(np.int32)
+        values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kept) if kept else np.zeros(0, np.int64)))
+        return [ids, *([r[i] for r in rows] for i in range(4)), values]
 
     return df.mapInArrow(common.per_slice(sketch, schema), SKETCH)
 
 
-def keys(classes: DataFrame, run: int = RUN) -> DataFrame:
-    """(key, cls, n): the inverted lists of retained values."""
-    schema = pa.schema([("key", pa.int64()), ("cls", pa.int64()), ("n", pa.int64())])
+def lists(classes: DataFrame, percent: int, k: int = K) -> DataFrame:
+    """(value, cls, n, need, rest, weight, members): the inverted lists of the classes' prefixes.
 
-    def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found, owners, sizes = [], [], []
-            for cls, n, sketch in zip(*(b.column(c).to_pylist() for c in ("cls", "n", "sketch"))):
-                s = np.frombuffer(sketch, np.uint64)
-                own = rolling.spans(s, run)
-                if n <= 2 * run:
-                    own = np.r_[own, s]
-                own = np.unique(own)
-                found.append(own)
-                owners.append(np.full(len(own), cls, np.int64))
-                sizes.append(np.full(len(own), n, np.int64))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(sizes))], schema=schema)
-
-    return classes.select("cls", "n", "sketch").mapInArrow(invert, "key long, cls long, n long")
+    rest counts the class's shared values from this one on, weight is the sum
+    of the list lengths of all its shared values.
+    """
+    entries = classes.select("cls", "n", F.explode("sketch").alias("value"))
+    # Aggregates are saved before they are joined: only then may Spark split a join's hot keys.
+    often = common.saved(entries.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "often")
+    need = F.least(F.lit(least_overlap(k, percent / 100)), F.floor((F.col("n") * percent + 99) / 100))
+    own = (
+        entries.join(often.hint("shuffle_hash"), "value")
+        .groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("l"), F.sum("df").alias("weight"))  # k values at most
+        .withColumn("shared", F.size("l").cast("long")).withColumn("need", need)
+        .where("shared >= need")
+    )
+    prefix = F.slice("l", F.lit(1), (F.col("shared") - F.col("need") + 1).cast("int"))
+    prefixes = common.saved(own.select("cls", "n", "need", "shared", "weight", F.posexplode(prefix).alias("at", "v")).select("cls", "n", "need", (F.col("shared") - F.col("at")).alias("rest"), "weight", F.col("v.value").alias("value")), "prefixes")
+    sized = common.saved(prefixes.groupBy("value").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "sized")
+    out = common.saved(prefixes.join(sized, "value"), "lists")
+    common.dropped(often, prefixes, sized)
+    return out
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, threshold: float, k: int = K) -> DataFrame:
     """The pairs (a, b) whose union sketch does not rule the threshold out."""
     least = least_overlap(k, threshold)
 
+    def arrays(column: pa.ListArray) -> list[np.ndarray]:
+        ends, values = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
+        return [values[i:j] for i, j in zip(ends, ends[1:])]
+
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
-            for n1, s1, n2, s2 in zip(*(b.column(c).to_pylist() for c in ("na", "sa", "nb", "sb"))):
-                x, y = np.frombuffer(s1, np.uint64), np.frombuffer(s2, np.uint64)
+            for n1, n2, x, y in zip(b.column("na").to_pylist(), b.column("nb").to_pylist(), arrays(b.column("sa")), arrays(b.column("sb"))):
                 both = np.intersect1d(x, y, assume_unique=True)
                 if n1 <= k and n2 <= k:  # whole sets: exact
                     keep.append(len(both) >= threshold * (n1 + n2 - len(both)) - 1e-9)
@@ -163,60 +168,118 @@ def compared(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long, shared long, total long")
 
 
+def in_blocks(percent: int) -> Callable:
+    """An Arrow mapper from rows sorted by (value, ask, answer, side) to links (a, b).
+
+    side 0 rows are asked for, side 1 rows answer; each has its class, label and
+    whole set.  Of the links of a block only those leave it that join two
+    components not joined yet.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, held, index = None, [], None
+        joined: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while joined.setdefault(x, x) != x:
+                joined[x] = x = joined[joined[x]]
+            return x
+
+        for b in batches:
+            out: list[tuple[int, int]] = []
+            names = ("value", "ask", "answer", "side", "cls", "label")
+            for value, ask, answer, side, cls, label, data in zip(*(b.column(c).to_pylist() for c in names), b.column("set")):
+                if (value, ask, answer) != unit:
+                    unit, held, index, joined = (value, ask, answer), [], None, {}
+                own = np.frombuffer(data.as_buffer(), np.uint64)
+                if not side:
+                    held.append((cls, label, own))
+                    continue
+                if not held:
+                    continue
+                if index is None:  # the asking sets, inverted
+                    sizes = np.array([len(x[2]) for x in held])
+                    flat = np.concatenate([x[2] for x in held])
+                    order = np.argsort(flat, kind="stable")
+                    who = np.repeat(np.arange(len(held)), sizes)[order]
+                    flat = flat[order]
+                    first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+                    index = flat[first], np.r_[first, len(flat)], who, sizes
+                values, edge, who, sizes = index
+                at = np.minimum(np.searchsorted(values, own), len(values) - 1)
+                at = at[values[at] == own]
+                start, n = edge[at], edge[at + 1] - edge[at]
+                hits = who[np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())] if len(at) else np.zeros(0, np.int64)
+                both = np.bincount(hits, minlength=len(held))
+                for i in np.flatnonzero((both * 100 >= (sizes + len(own) - both) * percent) & (both > 0)).tolist():
+                    x, y = root(held[i][1]), root(label)
+                    if x != y:
+                        joined[x] = y
+                        out.append((held[i][0], cls))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], schema=schema)
+
+    return run
+
+
 def links(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], percent: int, width: int, k: int = K) -> DataFrame:
     """(a, b) of classes with 100 * intersection >= percent * union, enough of them to connect all that are linked."""
-    lists = common.saved(keys(classes), "keys")
-    # Aggregates are saved before they are joined: only then may Spark split a join's hot keys.
-    sized = common.saved(lists.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "sized")
-    shared = common.saved(lists.join(sized, "key"), "lists")
-    common.dropped(lists, sized)
-    texts = texts_of(shared.select("cls").distinct())
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that link."""
-        near = common.saved(estimated(pairs.distinct(), classes, percent / 100, k), "near")
-        good = common.saved(compared(near, texts, width).where(F.col("shared") * 100 >= F.col("total") * percent).select("a", "b"), "links")
-        common.dropped(near)
-        return good
-
+    listed = lists(classes, percent, k)
     fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    # All pairs of the short lists: at most SHORT - 1 for each entry.
-    pairs = (
-        shared.where(F.col("members") <= SHORT)
-        .groupBy("key").agg(F.sort_array(F.collect_list(F.struct("cls", "n"))).alias("l"))
+    # All pairs of the short lists, at most SHORT - 1 for each entry, that can still share enough from this value on.
+    short = (
+        listed.where(F.col("members") <= SHORT)
+        .groupBy("value").agg(F.sort_array(F.collect_list(F.struct("cls", "n", "need", "rest"))).alias("l"))
         .select("l", F.explode(F.sequence(F.lit(0), F.size("l") - 2)).alias("i"))
         .select(F.col("l")[F.col("i")].alias("x"), F.explode(F.slice("l", F.col("i") + 2, F.size("l"))).alias("y"))
+        .where("x.need <= y.rest and y.need <= x.rest")
         .select(F.col("x.cls").alias("a"), F.col("x.n").alias("n"), F.col("y.cls").alias("b"), F.col("y.n").alias("m"))
     )
-    found = linked(pairs.where(fits).select("a", "b"))
-    # Only classes with more than a few long lists need them: the others' links show in short lists.
-    own = F.least("n", F.lit(k)) - RUN + 1
-    long = shared.where(F.col("members") > SHORT)
-    many = common.saved(long.groupBy("cls", "n").agg(F.count(F.lit(1)).alias("hot")).where(F.col("hot") > own / FEW).select("cls", "hot"), "many")
-    left = common.saved(long.join(many, "cls").select("key", "cls", "n", "hot"), "left")
-    common.dropped(shared, many)
-    elected = 1
-    while not left.isEmpty():
-        labels = common.saved(components(found), "labels")
-        named = common.saved(left.join(labels, left["cls"] == labels["node"], "left").select("key", "cls", "n", "hot", F.coalesce("label", "cls").alias("label")), "named")
-        # The list's largest component, and its head: the member with most long lists, the likely centre.
-        parts = common.saved(named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("hot", F.xxhash64("cls").alias("h"), "cls")).alias("top")), "parts")
-        open_ = parts.groupBy("key").agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.max("top")["cls"].alias("head"), F.sum("c").alias("members"), F.count(F.lit(1)).alias("labels"))
-        open_ = common.saved(open_.where("labels > 1").select("key", "main", "head", F.col("members")), "open")
-        now = common.saved(named.join(open_, "key"), "now")
-        # Leaders: the head, and of those outside the largest component about as many as this round elects.
-        draw = (F.xxhash64("cls", F.lit(elected)) / F.lit(2.0**64) + 0.5) * F.col("members")
-        leads = (F.col("cls") == F.col("head")) | ((F.col("label") != F.col("main")) & (draw < elected - 1))
-        leaders = common.saved(now.where(leads).select("key", F.col("cls").alias("a"), F.col("n").alias("m"), F.col("label").alias("of")), "leaders")
-        asked = now.join(leaders, "key").where("label <> of").where(fits).select("a", F.col("cls").alias("b"))
-        good = linked(asked)
-        found = common.saved(found.unionByName(good).distinct(), "links")
-        after = common.saved(now.select("key", "cls", "n", "hot").join(leaders.select("key", F.col("a").alias("cls")), ["key", "cls"], "left_anti"), "left")
-        common.dropped(left, labels, named, parts, open_, now, leaders, good)
-        left, elected = after, elected * GROWTH
+    long = listed.where(F.col("members") > SHORT)
+    leaders = common.saved(long.groupBy("value").agg(F.max(F.struct("weight", F.xxhash64("cls").alias("h"), "cls", "n")).alias("top")).select("value", F.col("top.cls").alias("a"), F.col("top.n").alias("m")), "leaders")
+    led = long.join(leaders, "value").where("a <> cls").select(F.least("a", "cls").alias("a"), "n", F.greatest("a", "cls").alias("b"), "m")
+    pairs = short.unionByName(led).where(fits).select("a", "b").distinct()
+    near = common.saved(estimated(pairs, classes, percent / 100, k), "near")
+    texts = texts_of(near.select(F.col("a").alias("cls")).union(near.select("b")).union(long.select("cls")).distinct())
+    good = common.saved(compared(near, texts, width).where(F.col("shared") * 100 >= F.col("total") * percent).select("a", "b"), "links")
+    common.dropped(leaders, near)
+    # Long lists with several components left: those outside the largest ask, the others answer.
+    labels = components(good)
+    named = common.saved(long.join(labels, long["cls"] == labels["node"], "left").select("value", "cls", "n", F.coalesce("label", "cls").alias("label")), "named")
+    parts = named.groupBy("value", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t"))
+    blocks = lambda c, t, most: F.greatest(F.ceil(c / most), F.ceil(t / WEIGHT)).cast("int")
+    open_ = (
+        parts.groupBy("value").agg(F.max(F.struct("c", "label", "t")).alias("main"), F.sum("c").alias("c"), F.sum("t").alias("t"), F.count(F.lit(1)).alias("labels"))
+        .where("labels > 1")
+        .select("value", F.col("main.label").alias("main"), blocks(F.col("c") - F.col("main.c"), F.col("t") - F.col("main.t"), ASKING).alias("asking"), blocks(F.col("c"), F.col("t"), ASKED).alias("asked"))
+    )
+    open_ = common.saved(open_, "open")
+    left = common.saved(named.join(open_, "value"), "left")
+    sets = common.saved(sets_of(texts.join(left.select("cls").distinct(), "cls"), width), "sets")
+    every = left.join(sets, "cls")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    asks = every.where("label <> main").withColumn("ask", F.pmod(F.xxhash64("cls"), "asking").cast("int")).select("value", "ask", spread(F.col("asked")).alias("answer"), F.lit(0).alias("side"), "cls", "label", "set")
+    answers = every.withColumn("answer", F.pmod(F.xxhash64("cls"), "asked").cast("int")).select("value", spread(F.col("asking")).alias("ask"), "answer", F.lit(1).alias("side"), "cls", "label", "set")
+    units = asks.unionByName(answers).repartition("value", "ask", "answer").sortWithinPartitions("value", "ask", "answer", "side", "cls")
+    more = common.saved(units.mapInArrow(in_blocks(percent), "a long, b long"), "links")
+    found = common.saved(good.unionByName(more).distinct(), "links")
+    common.dropped(listed, texts, labels, named, open_, left, sets, good, more)
     return found
 
 
+def sets_of(texts: DataFrame, width: int) -> DataFrame:
+    """(cls, set): the whole shingle sets as little-endian binary."""
+    schema = pa.schema([("cls", pa.int64()), ("set", pa.binary())])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, common.SLICE):
+                part = b.slice(at, common.SLICE)
+                yield pa.RecordBatch.from_arrays([part.column("cls"), pa.array([shingles(t, width).tobytes() for t in part.column("text").to_pylist()], pa.binary())], schema=schema)
+
+    return texts.select("cls", "text").mapInArrow(whole, "cls long, set binary")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of an edge: the least node that it can reach.
 
@@ -238,32 +301,38 @@ def components(edges: DataFrame) -> DataFrame:
         common.dropped(now, large)
         now = after
         if state == before:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
+            return common.like(now.select(F.col("a").alias("node"), F.col("b").alias("label")), now)
         before = state
 
 
 def near_duplicates(df: DataFrame, percent: int = 80, width: int = 5, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row_hash, n_shingles, component_id of every row."""
+    """doc_id, row_hash, n_shingles, component_id, least_hash of every row; least_hash is the row_hash of the component's first row, which component_id is the doc_id of."""
     docs = common.base(df, id_col, text_col)
     rows = common.saved(sketches(docs, width, k), "sketches")
     full = rows.where("n > 0")
-    # A class: documents with one set.  It goes by its least document.
+    # A class: rows with one set.  It goes by its least row.
     classes = common.saved(
-        full.groupBy("set_hash", "set_hash2", "n").agg(F.min(F.struct("doc_id", "row_hash", "sketch")).alias("r")).select("set_hash", "set_hash2", "n", F.col("r.doc_id").alias("doc_id"), F.col("r.row_hash").alias("row_hash"), F.col("r.sketch").alias("sketch"), F.monotonically_increasing_id().alias("cls")),
+        full.groupBy("set_hash", "set_hash2", "n").agg(F.min(F.struct("doc_id", "row_hash")).alias("r"), F.first("sketch").alias("sketch")).select("set_hash", "set_hash2", "n", F.col("r.doc_id").alias("doc_id"), F.col("r.row_hash").alias("row_hash"), "sketch", F.monotonically_increasing_id().alias("cls")),
         "classes",
     )
 
     def texts_of(wanted: DataFrame) -> DataFrame:
-        """The texts of those classes that share a list with another one."""
+        """The texts of some classes."""
         at = classes.join(wanted, "cls").select("doc_id", "row_hash", "cls")
-        return common.saved(substrings.with_row_hash(docs).join(at, ["doc_id", "row_hash"]).groupBy("cls").agg(F.first("text").alias("text")), "texts")
-
-    pairs = links(classes, texts_of, percent, width, k)
-    named = classes.select("cls", "doc_id")
-    edges = pairs.join(named.withColumnRenamed("cls", "a").withColumnRenamed("doc_id", "da"), "a").join(named.withColumnRenamed("cls", "b").withColumnRenamed("doc_id", "db"), "b").select(F.col("da").alias("a"), F.col("db").alias("b"))
-    stars = full.join(classes.select("set_hash", "set_hash2", F.col("doc_id").alias("b")), ["set_hash", "set_hash2"]).select(F.col("doc_id").alias("a"), "b")
-    labels = components(edges.unionByName(stars))
-    return rows.join(labels, rows["doc_id"] == labels["node"], "left").select("doc_id", "row_hash", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
+        # Repeated rows bring a class several times, but with one text.
+        return common.saved(substrings.with_row_hash(docs).join(at.hint("shuffle_hash"), ["doc_id", "row_hash"]).groupBy("cls").agg(F.first("text").alias("text")), "texts")
+
+    found = links(classes, texts_of, percent, width, k)
+    labels = components(found)
+    named = classes.join(labels, classes["cls"] == labels["node"], "left").select("set_hash", "set_hash2", "doc_id", "row_hash", F.coalesce("label", "cls").alias("label"))
+    least = common.saved(named.groupBy("label").agg(F.min(F.struct("doc_id", "row_hash")).alias("first")), "least")
+    of = common.saved(named.join(least, "label").select("set_hash", "set_hash2", F.col("first.doc_id").alias("component_id"), F.col("first.row_hash").alias("least_hash")), "components")
+    out = common.saved(
+        rows.join(of, ["set_hash", "set_hash2"], "left").select("doc_id", "row_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("least_hash", "row_hash").alias("least_hash")),
+        "near-duplicates",
+    )
+    common.dropped(rows, classes, found, labels, least, of)
+    return out
 
 
 def report(df: DataFrame, percent: int = 85, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

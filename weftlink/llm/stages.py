@@ -22,10 +22,24 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose document is the least of its component; documents without words stay."""
+    """One row of each component, that of the least (doc_id, hash of the text); rows without words stay.
+
+    Rows are judged by their texts, so rows with one doc_id and different texts
+    stand for themselves.  Of rows equal in id and text the one with the least
+    hash of all its columns stays.
+    """
     found = neardup.near_duplicates(docs, PERCENT, SHINGLE)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(KEY)).distinct()
-    return docs.withColumn(KEY, F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NULL_ID))).join(gone, KEY, "left_anti").select(*docs.columns)
+    stays = F.col("n_shingles").isNull() | (F.col("n_shingles") == 0) | ((F.col("doc_id") == F.col("component_id")) & (F.col("row_hash") == F.col("least_hash")))
+    kept = common.saved(found.where(stays).groupBy("doc_id", "row_hash").agg(F.when(F.max("n_shingles") > 0, F.count(F.lit(1))).otherwise(1).alias("rows")), "kept")
+    common.dropped(found)
+    columns = docs.columns
+    keyed = docs.select(F.struct(*columns).alias(ROW), F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NULL_ID)).alias(KEY), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias(HASH))
+    left = keyed.join(kept.select(F.col("doc_id").alias(KEY), F.col("row_hash").alias(HASH), "rows").hint("shuffle_hash"), [KEY, HASH])
+    once = left.where("rows = 1").select(f"{ROW}.*")
+    if kept.where("rows > 1").isEmpty():
+        return once
+    several = left.where("rows > 1").groupBy(KEY, HASH).agg(F.min_by(ROW, F.xxhash64(F.to_json(ROW))).alias(ROW)).select(f"{ROW}.*")
+    return once.unionByName(several)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
