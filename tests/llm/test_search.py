@@ -2,6 +2,8 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+
 from weftlink.llm import search
 
 
@@ -20,20 +22,55 @@ def brute(rows, queries, k):
     return sorted(out)
 
 
+def run(spark, rows, queries, k, size, block):
+    got = search.search(spark.createDataFrame(rows, "doc_id long, text string, score string"), spark.createDataFrame(queries, "query_id long, text string"), k, size=size, block=block).collect()
+    return sorted(((x["query_id"], x["rank"], x["doc_id"], x["score"]) for x in got), key=str)
+
+
+def same(got, rows, queries, k):
+    want = sorted(brute([r[:2] for r in rows], queries, k), key=str)
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert all(abs(x[3] - y[3]) < 2e-6 for x, y in zip(got, want))
+
+
 def test_search_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(search, "SHARD", 32)
-    monkeypatch.setattr(search, "BLOCK", 4)
+    """Lists with and without blocks, thresholds from earlier shards, several batches, ties, copies and a very long text."""
     monkeypatch.setattr(search, "BATCH", 600)
     r = random.Random(1)
     words = [f"w{i}" for i in range(60)]
-    rows = [(i, " ".join(r.choices(words, [1 / (j + 1) for j in range(60)], k=r.randint(0, 40)))) for i in range(200)]
-    rows += [(200, None), (201, ""), (202, rows[3][1]), (203, rows[3][1].upper())]
-    queries = [(i, t) for i, t in rows if i % 20 == 0 or i > 198]
-    got = search.search(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(queries, "query_id long, text string"), 5).collect()
-    got = sorted((x["query_id"], x["rank"], x["doc_id"], x["score"]) for x in got)
-    want = brute(rows, queries, 5)
-    assert [x[:3] for x in got] == [x[:3] for x in want]
-    assert all(abs(x[3] - y[3]) < 2e-6 for x, y in zip(got, want))
+    rows = [(i, " ".join(r.choices(words, [1 / (j + 1) for j in range(60)], k=r.randint(0, 40))), "x") for i in range(300)]
+    rows += [(300, None, None), (301, "", "y"), (302, rows[3][1], "z"), (303, rows[3][1].upper(), "z"), (304, " ".join(r.choices(words, k=60_000)), "long")]
+    queries = [(i, t) for i, t, _ in rows if i % 20 == 0 or i > 298]
+    for size, block in ((128, 4), (40, 16), (4096, 64)):
+        same(run(spark, rows, queries, 5, size, block), rows, queries, 5)
+
+
+def test_pivot_and_blocks_pass_documents_over():
+    """With a threshold, lists before the pivot are not read where their blocks cannot help, and nothing is lost."""
+    r = random.Random(5)
+    docs = [(i, search.terms(" ".join(["the"] * r.randint(1, 3) + ["of"] + r.choices([f"v{j}" for j in range(400)], k=12)))) for i in range(512)]
+    shard = search.Shard.from_bytes(search.Shard.build(docs).to_bytes())
+    shard.prepare(14.0, 16)
+    query = np.unique(search.terms("the of v1 v2 v3"))
+    n = np.array([sum(t in d[1] for d in docs) for t in query])
+    weights = search.idf(512, n)
+    ids, scores = shard.search(query, weights, -math.inf, 512)
+    assert len(ids) == 512
+    floor = np.sort(scores)[-8]
+    ids2, scores2 = shard.search(query, weights, float(floor), 8)
+    assert set(ids2) == set(ids[scores >= floor]) and len(ids2) >= 8
+    # "the" and "of" stand in every document, and are before the pivot.
+    assert weights[n == 512].sum() * shard.most.max() < floor
+
+
+def test_every_query_row_is_answered(spark):
+    rows = [(1, "a b", ""), (2, "a c", ""), (None, "a x", ""), (2, "a c", "")]
+    queries = [(7, "a"), (7, "x"), (7, "x"), (None, "c"), (9, None)]
+    got = run(spark, rows, queries, 2, 4096, 64)
+    assert [x[:3] for x in got if x[0] is None] == [(None, 1, 2), (None, 2, 2)]
+    sevens = sorted((x[:3] for x in got if x[0] == 7), key=str)
+    assert sevens == sorted([(7, 1, None), (7, 2, 1), (7, 1, None), (7, 1, None)], key=str)
+    assert all(x[0] != 9 for x in got)
 
 
 def test_search_in_nothing(spark):

@@ -1,26 +1,39 @@
-"""Exact BM25 top-k over sharded inverted indexes with block-max pruning.
-
-Documents are indexed in shards of ``SHARD``.  A posting list is cut into blocks
-of ``BLOCK`` documents, each with its greatest impact; impacts use the length
-statistics of all documents, and queries carry inverse document frequencies
-over all documents, so a shard's scores are those of one large index and the
-shards' best lists merge exactly.  For a query, the sums of the terms' block
-maxima bound every block's scores; blocks are scored best bound first, and a
-block whose bound does not exceed the k-th best score so far (in any shard that
-the task has seen) is passed over, as no document in it can enter.
-
-Queries come in batches of at most ``BATCH`` bytes, one pass over the shards
-for each, so what is sent to the tasks is bounded.  A query is the set of
-distinct words of a text; words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing
-A-Z.  Ties go to the smaller doc_id.  A null or empty text has no words: as a
-query it finds nothing, as a document it is never found.
+"""Exact BM25 top-k by block-max WAND over sharded inverted indexes.
+
+Documents are indexed once, in shards of ``SHARD``: a posting list for each
+term, with term frequencies and document lengths.  The statistics are those of
+all documents (their number, mean length, and the document frequencies of the
+terms asked for, summed over the shards), so a shard's scores are those of one
+large index and the shards' best lists merge exactly.
+
+Lists of at least ``BLOCK`` postings have a greatest impact for each block of
+``BLOCK`` documents.  A query's threshold is its k-th best score in the shards
+that the task has seen.  In a shard, lists are ordered by their upper bounds;
+the pivot is the first whose bound, with those before it, reaches the
+threshold, so a document that stands only in lists before the pivot cannot
+enter and cursors stop only at documents of the lists from the pivot on.
+These are scored on the latter; where that and the block maxima of the lists
+before the pivot stay under the threshold, the block is passed over, and the
+lists before the pivot are read in the other blocks alone.  All cursors of a
+shard move at once, as arrays.
+
+Queries come in batches of at most ``BATCH`` bytes (and one query more), two
+passes over the shards for each, so what is sent to the tasks is bounded.  A
+query is the set of distinct words of a text; words are
+``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z.
+
+Ties go to the smaller doc_id; scores are compared to nine digits after the
+point.  A null or empty text has no words: as a query it finds nothing, as a
+document it is never found.  Every query row is answered by itself, repeated
+ids and rows included; a null query_id or doc_id sorts first and comes back as
+null; repeated documents are found as often as they stand there.  An empty
+table, of documents or of queries, gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 import struct
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +46,8 @@ from weftlink.llm import common, substrings
 K1, B = 1.2, 0.75
 TOP = 10
 SHARD, BLOCK = 4096, 64
-#: Blocks of the best bounds that are scored before the others' bounds are looked at again.
-FIRST = 8
 BATCH = 32 << 20
-#: Queries come this close to a bound before it counts as passed: sums of floats in another order.
+#: Sums of floats in another order come this close to a bound before it counts as passed.
 SLACK = 1e-9
 
 
@@ -44,42 +55,36 @@ def terms(text: str) -> np.ndarray:
     return substrings.word_hashes(text.encode("utf-8", "surrogatepass").lower().split())
 
 
-def idf(n: int, df: int) -> float:
-    return math.log(1 + (n - df + 0.5) / (df + 0.5))
+def idf(n: int, df: np.ndarray) -> np.ndarray:
+    return np.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (n[0] of them), start[1], ..."""
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
 class Shard:
-    """Terms, their blocks, and the blocks' postings, as arrays."""
+    """Posting lists as arrays: terms, where their postings begin, and the postings' documents and frequencies."""
 
-    FIELDS = (("doc_ids", "<i8"), ("terms", "<u8"), ("term_at", "<i4"), ("block", "<u2"), ("most", "<f8"), ("block_at", "<i4"), ("doc", "<u2"), ("impact", "<f8"))
+    FIELDS = (("doc_ids", "<i8"), ("lengths", "<i4"), ("terms", "<u8"), ("at", "<i4"), ("doc", "<u2"), ("tf", "<i4"))
 
     def __init__(self, **arrays: np.ndarray):
         self.__dict__.update(arrays)
 
     @classmethod
-    def build(cls, docs: list[tuple[int, np.ndarray]], mean_length: float) -> Shard:
-        places, hashes, impacts = [], [], []
+    def build(cls, docs: list[tuple[int, np.ndarray]]) -> Shard:
+        places, hashes, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for i, (_, words) in enumerate(docs):
             h, tf = np.unique(words, return_counts=True)
             places.append(np.full(len(h), i, np.int64))
             hashes.append(h)
-            impacts.append(tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean_length)))
-        place, h, impact = (np.concatenate(x) if x else np.zeros(0) for x in (places, hashes, impacts))
-        order = np.lexsort((place, h))
-        place, h, impact = place[order], h[order].astype(np.uint64), impact[order].astype(np.float64)
-        block = place // BLOCK
-        new_term = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-        new_block = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (block[1:] != block[:-1])]) if len(h) else np.zeros(0, np.int64)
-        return cls(
-            doc_ids=np.array([d for d, _ in docs], np.int64),
-            terms=h[new_term],
-            term_at=np.r_[np.searchsorted(new_block, new_term), len(new_block)],
-            block=block[new_block],
-            most=np.maximum.reduceat(impact, new_block) if len(h) else impact,
-            block_at=np.r_[new_block, len(h)],
-            doc=place,
-            impact=impact,
-        )
+            counts.append(tf)
+        place, h, tf = map(np.concatenate, (places, hashes, counts))
+        order = np.argsort(h, kind="stable")  # documents stay in order within a term
+        h = h[order]
+        new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+        return cls(doc_ids=np.array([d for d, _ in docs], np.int64), lengths=np.array([len(w) for _, w in docs], np.int64), terms=h[new], at=np.r_[new, len(h)], doc=place[order], tf=tf[order])
 
     def to_bytes(self) -> bytes:
         parts = [getattr(self, n).astype(t).tobytes() for n, t in self.FIELDS]
@@ -90,48 +95,73 @@ class Shard:
         sizes = struct.unpack_from(f"<{len(cls.FIELDS)}I", data)
         at, out = 4 * len(sizes), {}
         for (name, kind), size in zip(cls.FIELDS, sizes):
-            out[name] = np.frombuffer(data[at : at + size], kind)
+            out[name] = np.frombuffer(data, kind, size // np.dtype(kind).itemsize, at)
             at += size
         return cls(**out)
 
+    def place(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which terms of the query stand here, and where."""
+        if not len(self.terms):
+            return np.zeros(len(query), bool), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.terms, query), len(self.terms) - 1)
+        has = self.terms[at] == query
+        return has, at[has]
+
+    def prepare(self, mean: float, block: int = BLOCK) -> None:
+        """Impacts, given the mean length of all documents, the greatest of each list, and of each block of the long lists."""
+        norm = K1 * (1 - B + B * self.lengths / mean)
+        self.impact = self.tf * (K1 + 1) / (self.tf + norm[self.doc])
+        n = np.diff(self.at)
+        self.most = np.maximum.reduceat(self.impact, self.at[:-1]) if len(n) else np.zeros(0)
+        self.block = block
+        long = np.flatnonzero(n >= block)
+        self.row = np.full(len(n), -1)
+        self.row[long] = np.arange(len(long))
+        self.blocks = -(-len(self.doc_ids) // block)
+        p = spread(self.at[long].astype(np.int64), n[long].astype(np.int64))
+        cell = np.repeat(np.arange(len(long)), n[long]) * self.blocks + self.doc[p] // block
+        new = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
+        block_most = np.zeros(len(long) * self.blocks)
+        block_at, block_n = np.zeros(len(block_most), np.int64), np.zeros(len(block_most), np.int64)
+        if len(cell):
+            block_most[cell[new]] = np.maximum.reduceat(self.impact[p], new)
+            block_at[cell[new]], block_n[cell[new]] = p[new], np.diff(np.r_[new, len(cell)])
+        shape = (len(long), self.blocks)
+        self.block_most, self.block_at, self.block_n = block_most.reshape(shape), block_at.reshape(shape), block_n.reshape(shape)
+
+    def score(self, start: np.ndarray, n: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        p = spread(start, n)
+        return np.bincount(self.doc[p], np.repeat(weight, n) * self.impact[p], minlength=len(self.doc_ids))
+
     def search(self, query: np.ndarray, weights: np.ndarray, floor: float, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(doc_ids, scores) of documents that may be among the k best, given that k score at least ``floor`` already."""
-        at = np.searchsorted(self.terms, query)
-        at[at == len(self.terms)] = 0
-        has = self.terms[at] == query if len(self.terms) else np.zeros(len(query), bool)
-        at, w = at[has], weights[has]
-        if not len(at):
-            return np.zeros(0, np.int64), np.zeros(0)
-        first, n = self.term_at[at].astype(np.int64), (self.term_at[at + 1] - self.term_at[at]).astype(np.int64)
-        entry = np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        weight = np.repeat(w, n)
-        blocks = self.block[entry].astype(np.int64)
-        bound = np.bincount(blocks, weight * self.most[entry], minlength=-(-len(self.doc_ids) // BLOCK))
-        ids, scores = [], []
-        todo = np.argsort(-bound, kind="stable")
-        todo = todo[bound[todo] > 0]
-        for wave in (todo[:FIRST], todo[FIRST:]):
-            wave = wave[bound[wave] >= floor - SLACK]
-            if not len(wave):
-                break
-            wanted = np.zeros(len(bound), bool)
-            wanted[wave] = True
-            e = np.flatnonzero(wanted[blocks])
-            start = self.block_at[entry[e]].astype(np.int64)
-            m = (self.block_at[entry[e] + 1] - self.block_at[entry[e]]).astype(np.int64)
-            p = np.repeat(start - np.r_[0, np.cumsum(m)[:-1]], m) + np.arange(m.sum())
-            total = np.bincount(self.doc[p], np.repeat(weight[e], m) * self.impact[p], minlength=len(self.doc_ids))
-            found = np.flatnonzero(total > 0)
-            found = found[total[found] >= floor - SLACK]
-            if len(found) > k:
-                cut = np.partition(total[found], -k)[-k]
-                found = found[total[found] >= cut]  # ties stay: the doc_id decides later
-            ids.append(self.doc_ids[found])
-            scores.append(total[found])
-            every = np.concatenate(scores)
-            if len(every) >= k:
-                floor = max(floor, float(np.partition(every, -k)[-k]))
-        return (np.concatenate(ids), np.concatenate(scores)) if ids else (np.zeros(0, np.int64), np.zeros(0))
+        has, t = self.place(query)
+        w = weights[has]
+        bound, row = w * self.most[t], self.row[t]
+        floor -= SLACK
+        # Lists before the pivot, of the long ones: together they stay under the floor.
+        order = np.flatnonzero(row >= 0)
+        order = order[np.argsort(bound[order], kind="stable")]
+        before = order[: np.searchsorted(np.cumsum(bound[order]), floor)]
+        stop = np.ones(len(t), bool)
+        stop[before] = False
+        start = self.at[t].astype(np.int64)
+        total = self.score(start[stop], self.at[t + 1][stop] - start[stop], w[stop])
+        if len(before):
+            rest = w[before] @ self.block_most[row[before]]
+            found = np.flatnonzero(total)
+            found = found[total[found] + rest[found // self.block] >= floor]
+            live = np.unique(found // self.block)
+            cells = np.ix_(row[before], live)
+            n = self.block_n[cells].ravel()
+            total = total + self.score(self.block_at[cells].ravel(), n, np.repeat(w[before], len(live)))
+        else:
+            found = np.flatnonzero(total)
+        found = found[total[found] >= floor]
+        if len(found) > k:
+            cut = np.partition(total[found], -k)[-k]
+            found = found[total[found] >= cut - SLACK]  # ties stay: the doc_id decides later
+        return self.doc_ids[found], total[found]
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,95 +169,113 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return ids[order], scores[order]
 
 
-def frequencies(docs: DataFrame) -> DataFrame:
-    """(term, df) over all documents; each task counts its own first."""
+def indexed(docs: DataFrame, size: int = SHARD) -> DataFrame:
+    """The shards of (doc_id, text), saved, with their documents and words."""
+    schema = pa.schema([("docs", pa.int64()), ("words", pa.int64()), ("shard", pa.binary())])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(np.fromiter(found.keys(), np.uint64, len(found)).view(np.int64)), pa.array(found.values(), pa.int64())], names=["term", "df"])
-            found.clear()
-            return out
+            shard = Shard.build(held)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([len(shard.doc_ids)]), pa.array([int(shard.lengths.sum())]), pa.array([shard.to_bytes()], pa.binary())], schema=schema)
 
         for b in batches:
-            for text in b.column("text").to_pylist():
-                found.update(set(terms(text).tolist()))
-                if len(found) > common.TABLE_SIZE:
-                    yield flush()
-        yield flush()
+            for at in range(0, b.num_rows, common.SLICE):
+                part = b.slice(at, common.SLICE)
+                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                    held.append((doc, terms(text)))
+                    if len(held) == size:
+                        yield flush()
+        if held:
+            yield flush()
 
-    return docs.mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    return common.saved(docs.mapInArrow(index, "docs long, words long, shard binary"), "shards")
 
 
-def search(df: DataFrame, queries: DataFrame, k: int = TOP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """query_id, rank (from 1), doc_id, score: the k best documents of each query row (query_id, text)."""
+def search(df: DataFrame, queries: DataFrame, k: int = TOP, id_col: str = "doc_id", text_col: str = "text", size: int = SHARD, block: int = BLOCK) -> DataFrame:
+    """query_id, rank (from 1), doc_id, score: the k best documents of each query row (query_id, text), by shards of size documents."""
     spark = df.sparkSession
-    docs = common.base(df, id_col, text_col)
-    asked = queries.select(F.coalesce(F.col("query_id").cast("long"), F.lit(common.NULL_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n_words = pa.schema([("n", pa.int64())])
-
-    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([len(t.encode("utf-8", "surrogatepass").split()) for t in b.column("text").to_pylist()], pa.int64())], schema=n_words)
-
-    stats = docs.mapInArrow(lengths, "n long").agg(F.count(F.lit(1)).alias("n"), F.avg("n").alias("mean")).first()
-    total, mean = stats["n"], max(stats["mean"] or 0.0, 1e-9)
+    shards = indexed(common.base(df, id_col, text_col), size)
+    stats = shards.agg(F.sum("docs").alias("n"), F.sum("words").alias("words")).first()
+    total, mean = stats["n"] or 0, max((stats["words"] or 0) / max(stats["n"] or 0, 1), 1e-9)
 
     def distinct(ids: list[int], texts: list[str]) -> list:
-        return [ids, [np.unique(terms(t)).view(np.int64).tolist() for t in texts]]
+        return [ids, [np.unique(terms(t)).tobytes() for t in texts]]
 
-    listed = asked.mapInArrow(common.per_slice(distinct, pa.schema([("doc_id", pa.int64()), ("terms", pa.list_(pa.int64()))])), "doc_id long, terms array<long>")
-    wanted = common.saved(listed.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("query_id"), F.explode("terms").alias("term")), "query-terms")
-    known = common.saved(frequencies(docs).join(wanted.select("term").distinct(), "term"), "frequencies")
-    weighted = common.saved(wanted.join(known, "term").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "df"))).alias("terms")).withColumn("bytes", F.size("terms") * 16), "queries")
+    schema = pa.schema([("doc_id", pa.int64()), ("terms", pa.binary())])
+    asked = common.base(queries, "query_id", "text").mapInArrow(common.per_slice(distinct, schema), "doc_id long, terms binary")
+    asked = common.saved(asked.where("length(terms) > 0").select(F.col("doc_id").alias("query_id"), "terms", F.monotonically_increasing_id().alias("row")), "queries")
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, np.ndarray]] = []
-        for b in batches:
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                held.append((doc, terms(text)))
-                if len(held) == SHARD:
-                    yield pa.RecordBatch.from_arrays([pa.array([Shard.build(held, mean).to_bytes()], pa.binary())], names=["shard"])
-                    held = []
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array([Shard.build(held, mean).to_bytes()], pa.binary())], names=["shard"])
+    def frequencies(wanted: np.ndarray) -> np.ndarray:
+        """The document frequency of each wanted term; a task sums its shards first."""
+        sent = spark.sparkContext.broadcast(wanted)
 
-    shards = common.saved(docs.mapInArrow(index, "shard binary"), "shards")
-
-    def scan(batch: list):
-        sent = spark.sparkContext.broadcast(batch)
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            df = np.zeros(len(sent.value), np.int64)
+            for b in batches:
+                for data in b.column("shard"):
+                    shard = Shard.from_bytes(data.as_py())
+                    has, at = shard.place(sent.value)
+                    df[has] += np.diff(shard.at)[at]
+            own = np.flatnonzero(df)
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(df[own], pa.int64())], names=["term", "df"])
+
+        # As many rows as the batch has terms.
+        rows = shards.select("shard").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+        out = np.zeros(len(wanted), np.int64)
+        out[rows.column("term").to_numpy()] = rows.column("df").to_numpy()
+        sent.unpersist()
+        return out
+
+    def scan(batch: list[tuple[int, int, bytes]]) -> DataFrame:
+        """The k best of the batch's queries in each task's shards."""
+        words = [np.frombuffer(t, np.uint64) for _, _, t in batch]
+        wanted = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
+        weight = idf(total, frequencies(wanted))
+        sent = spark.sparkContext.broadcast((np.array([r for r, _, _ in batch], np.int64), [w.tobytes() for w in words], wanted, weight))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            asked = [(q, np.array(t, np.int64).view(np.uint64), np.array(w)) for q, t, w in sent.value]
+            rows, asked, wanted, weight = sent.value
+            asked = [np.frombuffer(t, np.uint64) for t in asked]
+            weights = [weight[np.searchsorted(wanted, t)] for t in asked]
             top: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(asked)
             for b in batches:
                 for data in b.column("shard"):
                     shard = Shard.from_bytes(data.as_py())
-                    for i, (_, t, w) in enumerate(asked):
+                    shard.prepare(mean, block)
+                    for i, (t, w) in enumerate(zip(asked, weights)):
                         ids, scores = top[i]
-                        floor = float(scores[-1]) if len(scores) >= k else -math.inf
-                        more, points = shard.search(t, w, floor, k)
+                        more, points = shard.search(t, w, float(scores[-1]) if len(scores) >= k else -math.inf, k)
                         if len(more):
                             top[i] = best(np.r_[ids, more], np.r_[scores, points], k)
-            cols = [np.repeat([q for q, _, _ in asked], [len(x[0]) for x in top]).astype(np.int64), np.concatenate([x[0] for x in top]) if top else [], np.concatenate([x[1] for x in top]) if top else []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "doc_id", "score"])
-
-        return shards.mapInArrow(run, "query_id long, doc_id long, score double")
-
-    found, batch, size = None, [], 0
-    for r in weighted.select("query_id", "terms", "bytes").toLocalIterator():  # a batch at a time is on the driver
-        batch.append((r["query_id"], [x["term"] for x in r["terms"]], [idf(total, x["df"]) for x in r["terms"]]))
-        size += r["bytes"]
+            sizes = [len(x[0]) for x in top]
+            cols = [np.repeat(rows, sizes), np.concatenate([x[0] for x in top] or [np.zeros(0, np.int64)]), np.concatenate([x[1] for x in top] or [np.zeros(0)])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["row", "doc_id", "score"])
+
+        found = common.saved(shards.select("shard").mapInArrow(run, "row long, doc_id long, score double"), "found")
+        sent.unpersist()
+        return found
+
+    found, batch, size = [], [], 0
+    for r in asked.select("row", "query_id", "terms").toLocalIterator():  # a batch at a time is on the driver
+        batch.append((r["row"], r["query_id"], bytes(r["terms"])))
+        size += len(r["terms"])
         if size >= BATCH:
-            part = common.saved(scan(batch), "found")
-            found, batch, size = part if found is None else found.unionByName(part), [], 0
-    if batch or found is None:
-        part = common.saved(scan(batch), "found")
-        found = part if found is None else found.unionByName(part)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id"))
-    merged = found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
-    return common.null_ids(merged, "query_id", "doc_id")
+            found.append(scan(batch))
+            batch, size = [], 0
+    if batch or not found:
+        found.append(scan(batch))
+    # The best of each batch are merged at once, so that what stays is k rows a query.
+    every = found[0]
+    for part in found[1:]:
+        every = every.unionByName(part)
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.round("score", 9).desc(), "doc_id"))
+    merged = every.withColumn("rank", rank).where(F.col("rank") <= k).join(asked.select("row", "query_id"), "row")
+    out = common.saved(merged.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score")), "ranked")
+    common.dropped(shards, asked, *found)
+    return common.null_ids(out, "query_id", "doc_id")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

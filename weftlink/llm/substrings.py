@@ -34,13 +34,17 @@ WINDOW = 50
 ANCHOR = 16
 
 
+#: Entries of a worker's table of word hashes (about 150 bytes each); the table is emptied beyond it.
+WORDS = 300_000
+
+
 class WordHashes(dict):
     """Word -> 64-bit hash, the same in every process."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > common.TABLE_SIZE:
+        if len(self) > WORDS:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
