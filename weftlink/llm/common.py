@@ -20,6 +20,7 @@ from array import array
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -207,25 +208,181 @@ ASCII_CHUNKS = {
 }
 
 
-def same_vocabulary(path: str, library: Callable[[list[str]], list[bytes]]) -> Callable[[str], list[int]] | None:
-    """A faster encoder of single chunks with the vocabulary that stands beside ``path`` as ranks, if it gives the library's ids.
+def byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones for themselves, the others from U+0100 on in order."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
-    It is held against the library on all vocabulary entries that are plain
-    words; on any difference, or without such a file, the library is used.
+
+def same_merges(path: str) -> dict[bytes, int] | None:
+    """The ranks beside a byte-level vocabulary, if they say the same; None if there are none or they do not.
+
+    Every entry must have its rank as id, and the i-th merge must make the
+    entry of the i-th rank after the single bytes.  A merge of two neighbours
+    into an entry then happens by the one table exactly when it does by the
+    other: inside an entry's bytes nothing crosses its ends before, so they are
+    merged as they would be alone, which is how the entry came about.
     """
     ranks = path.removesuffix(".json") + ".tiktoken"
     if not path.endswith(".json") or not os.path.exists(ranks):
         return None
     import base64
-
-    import tiktoken
+    import json
 
     with open(ranks, "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-    one = tiktoken.Encoding("chunks", pat_str=r"(?s).+", mergeable_ranks=table, special_tokens={}).encode_ordinary
-    probe = [b.decode() for b in table if re.fullmatch(rb" ?[A-Za-z]{2,}|[^\sA-Za-z0-9\x80-\xff]+", b)][::5]
-    probe += [x + y for x, y in zip(probe, probe[1:]) if x[-1].isalpha() and y[0].isalpha()]
-    return one if [array("I", one(x)).tobytes() for x in probe] == library(probe) else None
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    to = byte_of()
+    raw = lambda entry: bytes(to[c] for c in entry)
+    special = {x["content"] for x in found["added_tokens"]}
+    vocabulary = {raw(k): v for k, v in found["model"]["vocab"].items() if k not in special}
+    merges = [m.split(" ") if isinstance(m, str) else m for m in found["model"]["merges"]]
+    singles = len(vocabulary) - len(merges)
+    same = vocabulary == table and all(table.get(raw(a) + raw(b)) == singles + i for i, (a, b) in enumerate(merges))
+    return table if same else None
+
+
+class WordEnds:
+    """Texts to ids by a vocabulary whose words end in a mark of their own, as the tokenizers library gives them.
+
+    Texts are put in normal form and lower case, cut into words by the classes
+    of their characters, all texts at hand at once, and every word gets MARK
+    behind it; the vocabulary's merges then stand as ranks over bytes with MARK
+    for the word's end.  Texts with special strings, with MARK itself or with a
+    character whose class or lower case depends on more than itself (UNSURE)
+    go to the library.  None of it is used unless every merge makes the entry
+    of its own place.
+    """
+
+    MARK = "\x01"
+    UNSURE = re.compile("[\u03a3\u0130\x01\x1c-\x1f]")
+    SPACE, LETTER, DIGIT, OTHER = 0, 1, 2, 3
+    #: The pattern's white space (fixed values).
+    SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+    #: The pattern's endings after an apostrophe (fixed values).
+    ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+
+    def __init__(self, path: str):
+        import json
+        import sys
+        import unicodedata
+
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_file(path)
+        tok.no_truncation()
+        tok.no_padding()
+        self.library = lambda text: np.array(tok.encode(text, add_special_tokens=False).ids, np.uint16)
+        with open(path, encoding="utf-8") as f:
+            found = json.load(f)
+        self.special = tuple(x["content"] for x in found["added_tokens"])
+        end, to = found["model"]["end_of_word_suffix"], byte_of()
+        raw = lambda e: bytes(to[c] for c in e.removesuffix(end)) + (self.MARK.encode() if e.endswith(end) else b"")
+        vocabulary = found["model"]["vocab"]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in found["model"]["merges"]]
+        # Single bytes, then bytes that end a word, then the merges in order.
+        made = [*(a for a in vocabulary if a in to), *(a for a in vocabulary if a.removesuffix(end) in to and a not in to), *(a.removesuffix(end) + b for a, b in merges)]
+        ranks = {raw(e): i for i, e in enumerate(made)}
+        self.sure = set(made) == set(vocabulary) - set(self.special) and len(made) == len(set(made)) == len(ranks) and all(a.endswith(end) is False for a, _ in merges) and all(bytes([b]) in ranks for b in range(256))
+        if self.sure:
+            self.ids = np.array([vocabulary[e] for e in made], np.uint16)
+            self.encode = tiktoken.Encoding("words", pat_str=f"[^{self.MARK}]*{self.MARK}", mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+            kinds = {"L": self.LETTER, "N": self.DIGIT}
+            self.kinds = np.array([kinds.get(unicodedata.category(chr(c))[0], self.OTHER) for c in range(sys.maxunicode + 1)], np.uint8)
+            self.kinds[[ord(c) for c in self.SPACES]] = self.SPACE
+            self.unassigned = np.array([unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)])
+            self.normal = lambda t: t if t.isascii() or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t)
+
+    def marked(self, texts: list[str]) -> list[str | None]:
+        """Each text's words with MARK behind each; None for a text that the library must see."""
+        low = [None if self.UNSURE.search(t) or any(s in t for s in self.special) else self.normal(t).lower() for t in texts]
+        # A space after each text keeps words apart.
+        chars = np.frombuffer("".join([f"{t} " for t in low if t is not None]).encode("utf-32-le", "surrogatepass"), "<u4")
+        kind = self.kinds[chars]
+        # A word ends where the kind changes, and after every digit.
+        ends = np.empty(len(chars), bool)
+        ends[:-1] = kind[:-1] != kind[1:]
+        ends[-1:] = True
+        ends |= kind == self.DIGIT
+        begins = np.flatnonzero((chars == 39) & np.r_[True, kind[:-1] != self.OTHER])
+        for i in begins.tolist():
+            tail = chars[i + 1 : i + 3].tobytes().decode("utf-32-le", "surrogatepass")
+            for e in self.ENDINGS:
+                if tail.startswith(e):
+                    ends[i] = False
+                    ends[i + len(e)] = True
+                    break
+        kept = kind != self.SPACE
+        ends &= kept
+        # Every kept character goes to its place among the kept ones and the marks before it.
+        size = kept.astype(np.int64) + ends
+        at = np.cumsum(size) - size
+        out = np.full(int(size.sum()), ord(self.MARK), "<u4")
+        out[at[kept]] = chars[kept]
+        whole = out.tobytes().decode("utf-32-le", "surrogatepass")
+        done, done_out, result = 0, 0, []
+        odd = self.unassigned[chars].any()
+        for t in low:
+            if t is None:
+                result.append(None)
+                continue
+            done += len(t) + 1
+            end = int(at[done - 1] + size[done - 1])
+            result.append(None if odd and self.unassigned[chars[done - len(t) - 1 : done]].any() else whole[done_out:end])
+            done_out = end
+        return result
+
+    def look_up(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids (uint16) of each text."""
+        if not self.sure:
+            return [self.library(t) for t in texts]
+        return [self.library(t) if m is None else self.ids[self.encode(m, disallowed_special=())] for t, m in zip(texts, self.marked(texts))]
+
+
+_WORD_ENDS: dict[str, WordEnds] = {}
+
+
+def word_ends(path: str) -> WordEnds:
+    """One for each worker process."""
+    if path not in _WORD_ENDS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        _WORD_ENDS[path] = WordEnds(path)
+    return _WORD_ENDS[path]
+
+
+_WHOLE: dict[str, Callable[[str], np.ndarray]] = {}
+
+
+def text_encoder(path: str) -> Callable[[str], np.ndarray]:
+    """Whole texts to ids (uint32) as the tokenizers library gives them, without added ids.
+
+    Where the vocabulary also stands there as ranks that say the same (see
+    same_merges), texts without special strings are encoded by these with the
+    vocabulary's published pattern; all others by the library.
+    """
+    if path not in _WHOLE:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import json
+
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_file(path)
+        tok.no_truncation()
+        tok.no_padding()
+        with open(path, encoding="utf-8") as f:
+            special = tuple(x["content"] for x in json.load(f)["added_tokens"])
+        library = lambda text: np.array(tok.encode(text, add_special_tokens=False).ids, np.uint32)
+        table, fast = same_merges(path), None
+        if table:
+            import public_tokenizers
+            import tiktoken
+
+            fast = tiktoken.Encoding("texts", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_to_numpy
+        _WHOLE[path] = lambda text: library(text) if fast is None or any(s in text for s in special) else fast(text, disallowed_special=())
+    return _WHOLE[path]
 
 
 def library_table(path: str, width: int, spaced: bool) -> UnitTable:
@@ -250,7 +407,11 @@ def library_table(path: str, width: int, spaced: bool) -> UnitTable:
         def library(units: list[str]) -> list[bytes]:
             return [array(kind, e.ids).tobytes() for e in tok.encode_batch_fast(units, add_special_tokens=False)]
 
-        fast = same_vocabulary(path, library) if cut else None
+        table, fast = same_merges(path) if cut else None, None
+        if table:
+            import tiktoken
+
+            fast = tiktoken.Encoding("chunks", pat_str=r"(?s).+", mergeable_ranks=table, special_tokens={}).encode_ordinary
 
         def encode(units: list[str]) -> list[bytes]:
             if cut is None:

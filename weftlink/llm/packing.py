@@ -38,16 +38,16 @@ def pieces(df: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path:
     """doc_id, piece, start, length and ids_crc32 of the pieces of every document."""
     path = path or common.tokenizer_path(VOCABULARY)
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-    end = np.array([end_id], "<u4").tobytes()
 
     def cut(ids: list[int], texts: list[str]) -> list:
         out: list[list] = [[], [], [], [], []]
-        for doc, units in zip(ids, common.library_table(path, 4, True).look_up(texts)):
-            data = b"".join(units) + end
-            n, at = len(data) // 4, 0
+        encode = common.text_encoder(path)
+        for doc, text in zip(ids, texts):
+            data = np.append(encode(text), np.uint32(end_id)).astype("<u4", copy=False)
+            n, at = len(data), 0
             length = (n - 1) % capacity + 1
             for piece in range(-(-n // capacity)):
-                row = (doc, piece, at, length, zlib.crc32(data[4 * at : 4 * (at + length)]))
+                row = (doc, piece, at, length, zlib.crc32(data[at : at + length]))
                 for col, x in zip(out, row):
                     col.append(x)
                 at, length = at + length, capacity
