@@ -1,20 +1,22 @@
 """Adaptive context mixing and a range coder for token ids.
 
 A stream of ids is cut into blocks, each coded by itself from a fresh model and
-with a checksum.  The probability of the next id is a mixture of three
-predictions: by order 2 (the id last seen after these two ids), by order 1
-(after this one id), both with weights that follow how often they were right at
-their present confidence, and by order 0 (counts of ids by groups of 16, and the
-last id seen in the group).  One range-coder step codes the id by its place in
-the mixture's cumulative counts.
+with a checksum.  The distribution of the next id mixes three predictions: by
+order 2 (the id last seen after these two ids), by order 1 (after this one id),
+both with weights that follow how often they were right at their present
+confidence, and by order 0 (counts of ids by groups of ``GROUP``, and the last
+id seen in the group).  The mixture's counts sum to 2^``TOTAL``; they are laid
+out as order 2's part, order 1's and order 0's, and an id is coded by one
+range-coder step in the first part that has it.
 
 All blocks at hand advance together, one id of each at a time, so that every
-numpy operation handles as many ids as there are blocks.  Order-0 counts are
-brought up to date at fixed places of the block; the rest of the model after
-each id.
+numpy operation handles as many ids as there are blocks; blocks are short, so
+that many of their models fit.  Order-0 counts and the weights are brought up
+to date at fixed places of the block; predictions and confidences after each
+id.
 
-Coder state: ``range`` in [2^40, 2^56), 16-bit words out; carries are settled
-at the end of a block.
+Coder state: ``range`` in [2^32, 2^48), 16-bit words out; carries are settled
+at the end of a block.  Quotients of integers under 2^48 by floats are exact.
 """
 
 from __future__ import annotations
@@ -23,113 +25,168 @@ import zlib
 
 import numpy as np
 
-BLOCK = 8192
+BLOCK = 2048
 #: Blocks that advance together at most.
-TOGETHER = 1024
-GROUP = 16
-#: Counts of an id seen, and resolution of the mixture's weights.
-STEP, WEIGHTS = 8, 1024
-#: Shares of a group's count: the last id seen has 1 + LATEST, the others 1.
-LATEST = 16
-SLOTS_1, SLOTS_2 = 1 << 12, 1 << 13
-LOW = np.uint64(40)
-MASK = np.uint64((1 << 40) - 1)
-MIN = np.uint64(1 << 40)
-W16 = np.uint64(16)
+TOGETHER = 2048
+#: Ids in a group; the last one seen has a share of 1 + GROUP of 2 * GROUP.
+GROUP_BITS = 5
+GROUP = 1 << GROUP_BITS
+#: Bits of the group counts' sum, of order-0 counts in all, of the mixture's weights, and of the mixture.
+COUNT_BITS = 13
+ORDER_0 = COUNT_BITS + GROUP_BITS + 1
+WEIGHT_BITS = 9
+WEIGHTS = 1 << WEIGHT_BITS
+TOTAL = ORDER_0 + WEIGHT_BITS
+SLOTS = 1 << 11
+#: Counts that share an entry of the decoder's way into the groups, and the steps of the search from there.
+FINE_BITS = 3
+FINE, COARSE = 1 << FINE_BITS, (1 << COUNT_BITS - FINE_BITS) + 1
+STEPS = (4, 2, 1)
+#: Bits of a prediction's confidence.
+SURE_BITS = 4
+SURE = (1 << SURE_BITS) - 1
+LOW, W16 = np.uint64(32), np.uint64(16)
+MASK, MIN = np.uint64((1 << 32) - 1), np.uint64(1 << 32)
+START, SHIFT = (1 << 48) - 1, np.uint64(TOTAL)
+#: Blocks whose counts are brought up to date at once.
+SOME = 32
+#: Ids of larger vocabularies do not fit the counts.
+VOCABULARY = 1 << (COUNT_BITS + GROUP_BITS - 1)
 
 
 def refresh_places(longest: int) -> set[int]:
-    """Where order-0 counts are brought up to date: 64, 128, ... 1024, then every 1024 ids."""
-    return {x for x in (64, 128, 256, 512) if x < longest} | set(range(1024, longest, 1024))
+    """Where counts and weights are brought up to date: 64, 192, 512, then every 512 ids."""
+    return {x for x in (64, 192) if x < longest} | set(range(512, longest, 512))
 
 
 class Model:
-    """The models of n blocks that are at the same place."""
+    """The models of n blocks that are at the same place; looks tells whether counts are looked up, as a decoder does."""
 
-    def __init__(self, n: int, vocabulary: int):
+    def __init__(self, n: int, vocabulary: int, longest: int, looks: bool):
+        if vocabulary > VOCABULARY:
+            raise ValueError(f"a vocabulary has at most {VOCABULARY} ids")
         self.groups = -(-vocabulary // GROUP)
-        b = np.arange(n, dtype=np.int64)
-        self.base_1, self.base_2, self.base_r = b * SLOTS_1, b * SLOTS_2, b * self.groups
-        self.base_c, self.lift = b * (self.groups + 1), b << 40
-        self.id_1, self.sure_1 = np.zeros(n * SLOTS_1, np.int32), np.zeros(n * SLOTS_1, np.uint8)
-        self.id_2, self.sure_2 = np.zeros(n * SLOTS_2, np.int32), np.zeros(n * SLOTS_2, np.uint8)
-        # How often a prediction of a given confidence is right, of 2^16.
-        self.base_h1, self.base_h2 = b * 16, b * 32
-        self.right_1 = np.tile(np.linspace(1000, 40000, 16).astype(np.int64), n)
-        self.right_2 = np.tile(np.repeat(np.linspace(2000, 56000, 16).astype(np.int64), 2), n)
-        self.latest = np.zeros(n * self.groups, np.int64)
-        self.cum = (np.arange(self.groups + 1, dtype=np.int64)[None, :] + self.lift[:, None]).reshape(-1)
-        self.total = self.groups * (GROUP + LATEST)
-        self.last_1, self.last_2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        b = np.arange(n)
+        self.base_c, self.base_g, self.base_s = b * SLOTS, b * self.groups, b * COARSE
+        self.base_h1, self.base_h2 = b << SURE_BITS, b << (SURE_BITS + 1)
+        # Prediction and confidence of each context.
+        self.after_1, self.after_2 = np.zeros(n * SLOTS, np.int32), np.zeros(n * SLOTS, np.int32)
+        # How often a prediction of a given confidence was right; what was looked at since the last time, times 2, and whether it was right.
+        self.tried_1, self.tried_2 = np.full(n << SURE_BITS, 16.0), np.full(n << (SURE_BITS + 1), 16.0)
+        self.right_1 = np.tile(np.linspace(0.2, 9.8, SURE + 1), n)
+        self.right_2 = np.tile(np.repeat(np.linspace(0.4, 13.6, SURE + 1), 2), n)
+        self.log_1, self.log_2 = np.zeros((longest, n), np.uint8), np.zeros((longest, n), np.uint8)
+        # Order 0: of each group the cumulative count below, the count, and the last id seen.
+        self.seen = np.ones((n, self.groups), np.int32)
+        self.order = np.zeros(n * self.groups, np.int32)
+        self.coarse = np.zeros(n * COARSE, np.int32) if looks else None
+        self.context_1, self.context_2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.level(n)
+
+    def level(self, m: int) -> None:
+        """Weights and order-0 counts of the first m blocks from what was seen so far; a group's count is one and its share of the rest."""
+        self.share_1 = (self.right_1 * (480 / self.tried_1)).astype(np.int32)
+        self.share_2 = (self.right_2 * (480 / self.tried_2)).astype(np.int32) + 1
+        spare = (1 << COUNT_BITS) - self.groups
+        ones = np.arange(1, self.groups + 1, dtype=np.int32)
+        for low in range(0, m, SOME):
+            high = min(m, low + SOME)
+            below = np.cumsum(self.seen[low:high], axis=1, dtype=np.int32)
+            end = (below * (spare / below[:, -1:])).astype(np.int32)
+            end[:, -1] = spare
+            end += ones
+            start = np.zeros_like(end)
+            start[:, 1:] = end[:, :-1]
+            if self.coarse is not None:
+                # The last group that starts at or before each FINE-th count.
+                cell = (start + (FINE - 1) >> FINE_BITS) + (np.arange(high - low, dtype=np.int32) * COARSE)[:, None]
+                begun = np.bincount(cell.ravel(), minlength=(high - low) * COARSE).reshape(-1, COARSE)
+                self.coarse[low * COARSE : high * COARSE] = (np.cumsum(begun, axis=1, dtype=np.int32) - 1).ravel()
+            end -= start
+            end <<= GROUP_BITS
+            start <<= COUNT_BITS + GROUP_BITS
+            start |= end
+            own = self.order[low * self.groups : high * self.groups]
+            own &= GROUP - 1
+            own |= start.ravel()
+
+    def refresh(self, ids: np.ndarray, since: int, t: int) -> None:
+        """ids: those at places since to t, one column for each block that is still open."""
+        m = ids.shape[1]
+        flat = self.seen.reshape(-1)
+        for row in ids:  # a block has one id in a row, so no place comes twice
+            flat[self.base_g[:m] + (row >> GROUP_BITS)] += 8
+        for log, base, tried, right in ((self.log_1, self.base_h1, self.tried_1, self.right_1), (self.log_2, self.base_h2, self.tried_2, self.right_2)):
+            found = np.bincount((log[since:t, :m] + (base[:m] << 1)).ravel(), minlength=2 * len(tried)).reshape(-1, 2)
+            tried += found.sum(axis=1)
+            right += found[:, 1]
+        self.level(m)
 
     def predict(self, m: int) -> None:
         """The mixture for the next id of the first m blocks."""
-        a, b = self.last_1[:m], self.last_2[:m]
-        self.at_1 = self.base_1[:m] + ((a * 40503 >> 4) & (SLOTS_1 - 1))
-        self.at_2 = self.base_2[:m] + (((a * 40503 + b * 2654435 + (b >> 3)) >> 5) & (SLOTS_2 - 1))
-        self.p_1, self.p_2 = self.id_1[self.at_1].astype(np.int64), self.id_2[self.at_2].astype(np.int64)
-        self.k_1, self.k_2 = self.sure_1[self.at_1], self.sure_2[self.at_2]
-        self.h_1 = self.base_h1[:m] + self.k_1
-        self.h_2 = self.base_h2[:m] + 2 * self.k_2.astype(np.int64) + (self.p_1 == self.p_2)
-        self.r_1, self.r_2 = self.right_1[self.h_1], self.right_2[self.h_2]
-        self.w_2 = self.r_2 * 960 >> 16
-        self.w_1 = (WEIGHTS - self.w_2) * (self.r_1 * 960 >> 16) >> 10
+        self.at_1, self.at_2 = self.base_c[:m] + self.context_1[:m], self.base_c[:m] + self.context_2[:m]
+        self.e_1, self.e_2 = self.after_1.take(self.at_1), self.after_2.take(self.at_2)
+        self.p_1, self.p_2 = self.e_1 >> SURE_BITS, self.e_2 >> SURE_BITS
+        # Confidences; that of order 2 with whether order 1 says the same.
+        self.k_1 = self.e_1 & SURE
+        self.k_2 = ((self.e_2 & SURE) << 1) | (self.p_1 == self.p_2)
+        self.w_2 = self.share_2.take(self.base_h2[:m] + self.k_2)
+        self.w_1 = ((WEIGHTS - self.w_2) * self.share_1.take(self.base_h1[:m] + self.k_1) >> WEIGHT_BITS) + 1
         self.w_0 = WEIGHTS - self.w_1 - self.w_2
 
-    def order_0(self, x: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
-        """Cumulative count below x, and the count of x."""
-        g, low = x >> 4, x & 15
-        i = self.base_c[:m] + g
-        below = self.cum[i]
-        n = self.cum[i + 1] - below
-        r = self.latest[self.base_r[:m] + g]
-        return (below - self.lift[:m]) * (GROUP + LATEST) + n * (low + LATEST * (low > r)), n * (1 + LATEST * (low == r))
-
-    def mixed(self, x: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
-        """Cumulative count below x, and the count of x, in the mixture; all counts sum to total * WEIGHTS."""
-        below, n = self.order_0(x, m)
-        t = self.total
+    def order_0(self, x: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Cumulative count below x, the count of x, and its group's entry and place."""
+        at = self.base_g[:m] + (x >> GROUP_BITS)
+        entry = self.order.take(at)
+        return *self.share(entry, x & (GROUP - 1)), entry, at
+
+    @staticmethod
+    def share(entry: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, latest = (entry >> GROUP_BITS) & ((1 << COUNT_BITS) - 1), entry & (GROUP - 1)
+        start = (entry >> (COUNT_BITS + GROUP_BITS)) << (GROUP_BITS + 1)
+        return start + n * (low + ((low > latest) << GROUP_BITS)), n + (n * (low == latest) << GROUP_BITS)
+
+    def part(self, x: np.ndarray, below: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where x stands in the mixture, and its count: order 2's part, order 1's, then order 0's, given its counts there."""
+        self.hit_1, self.hit_2 = self.p_1 == x, self.p_2 == x
         return (
-            self.w_0 * below + t * (self.w_1 * (self.p_1 < x) + self.w_2 * (self.p_2 < x)),
-            self.w_0 * n + t * (self.w_1 * (self.p_1 == x) + self.w_2 * (self.p_2 == x)),
+            np.where(self.hit_2, 0, np.where(self.hit_1, self.w_2 << ORDER_0, ((WEIGHTS - self.w_0) << ORDER_0) + self.w_0 * below)),
+            np.where(self.hit_2, self.w_2 << ORDER_0, np.where(self.hit_1, self.w_1 << ORDER_0, self.w_0 * n)),
         )
 
-    def find(self, v: np.ndarray, m: int) -> np.ndarray:
-        """The id whose range of the mixture holds v."""
-        below_1, n_1 = self.mixed(self.p_1, m)
-        below_2, n_2 = self.mixed(self.p_2, m)
-        t = self.total
-        past_1, past_2 = v >= below_1 + n_1, v >= below_2 + n_2
-        u = (v - t * (self.w_1 * past_1 + self.w_2 * past_2)) // self.w_0
-        u = np.clip(u, 0, t - 1)
-        at = np.searchsorted(self.cum, u // (GROUP + LATEST) + self.lift[:m], "right") - 1
-        g = at - self.base_c[:m]
-        share = (u - (self.cum[at] - self.lift[:m]) * (GROUP + LATEST)) // (self.cum[at + 1] - self.cum[at])
-        r = self.latest[self.base_r[:m] + g]
-        low = np.where(share < r, share, np.where(share <= r + LATEST, r, share - LATEST))
-        x = (g << 4) + low
-        x = np.where((v >= below_2) & ~past_2, self.p_2, x)
-        return np.where((v >= below_1) & ~past_1, self.p_1, x)
-
-    def learn(self, x: np.ndarray, m: int) -> None:
-        hit_1, hit_2 = self.p_1 == x, self.p_2 == x
-        self.right_1[self.h_1] = self.r_1 + ((hit_1 * 65535 - self.r_1) >> 5)
-        self.right_2[self.h_2] = self.r_2 + ((hit_2 * 65535 - self.r_2) >> 5)
-        self.id_1[self.at_1] = np.where(hit_1 | (self.k_1 > 1), self.p_1, x)
-        self.id_2[self.at_2] = np.where(hit_2 | (self.k_2 > 1), self.p_2, x)
-        self.sure_1[self.at_1] = np.where(hit_1, np.minimum(self.k_1 + 1, 15), self.k_1 >> 1)
-        self.sure_2[self.at_2] = np.where(hit_2, np.minimum(self.k_2 + 1, 15), self.k_2 >> 1)
-        self.latest[self.base_r[:m] + (x >> 4)] = x & 15
-        self.last_2[:m] = self.last_1[:m]
-        self.last_1[:m] = x
-
-    def refresh(self, seen: np.ndarray) -> None:
-        """seen: the ids since the last time, one row for each place, one column for each block that is still open."""
-        rows, m = seen.shape
-        size = self.groups + 1
-        counts = np.bincount(((seen >> 4) + 1 + self.base_c[:m]).ravel(), minlength=m * size)
-        self.cum[: m * size] += (np.cumsum(counts.reshape(m, size), axis=1) * STEP).reshape(-1)
-        self.total += rows * STEP * (GROUP + LATEST)
+    def find(self, v: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The id whose part of the mixture holds v, where that begins, its count, and the entry and place of its group."""
+        base_g = self.base_g[:m]
+        begin = (WEIGHTS - self.w_0) << ORDER_0
+        u = np.maximum(((v - begin) / self.w_0).astype(np.int32), 0)
+        q = np.minimum(u >> (GROUP_BITS + 1), (1 << COUNT_BITS) - 1)
+        g = self.coarse.take(self.base_s[:m] + (q >> FINE_BITS)) + base_g
+        end, q = base_g + (self.groups - 1), (q + 1).astype(np.int64) << (COUNT_BITS + GROUP_BITS)
+        for step in STEPS:  # a group has a count of one at least
+            further = np.minimum(g + step, end)
+            g = np.where(self.order.take(further) < q, further, g)
+        entry = self.order.take(g)
+        n, latest = (entry >> GROUP_BITS) & ((1 << COUNT_BITS) - 1), entry & (GROUP - 1)
+        part = ((u - ((entry >> (COUNT_BITS + GROUP_BITS)) << (GROUP_BITS + 1))) / n).astype(np.int32)
+        low = np.where(part < latest, part, np.where(part <= latest + GROUP, latest, part - GROUP))
+        x = ((g - base_g).astype(np.int32) << GROUP_BITS) | low
+        in_2, in_12 = v < self.w_2 << ORDER_0, v < begin
+        x = np.where(in_2, self.p_2, np.where(in_12, self.p_1, x))
+        place = base_g + (x >> GROUP_BITS)
+        entry = self.order.take(place)
+        return x, *self.part(x, *self.share(entry, x & (GROUP - 1))), entry, place
+
+    def learn(self, x: np.ndarray, m: int, t: int, entry: np.ndarray, at: np.ndarray) -> None:
+        hit_1, hit_2 = self.hit_1, self.hit_2
+        self.log_1[t, :m] = (self.k_1 << 1) | hit_1
+        self.log_2[t, :m] = (self.k_2 << 1) | hit_2
+        fresh = x << SURE_BITS
+        for after, where, hit, e, k in ((self.after_1, self.at_1, hit_1, self.e_1, self.k_1), (self.after_2, self.at_2, hit_2, self.e_2, self.k_2 >> 1)):
+            after[where] = np.where(hit, e + (k < SURE), np.where(k > 1, e - ((k + 1) >> 1), fresh))
+        self.order[at] = (entry & ~(GROUP - 1)) | (x & (GROUP - 1))
+        mixed = x.astype(np.int64) * 40503 >> 4
+        self.context_2[:m] = (mixed + self.context_1[:m] * 2531) >> 1 & (SLOTS - 1)
+        self.context_1[:m] = mixed & (SLOTS - 1)
 
 
 def encode(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
@@ -148,41 +205,45 @@ def _encode(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
     ids = np.zeros((longest, n), np.int32)
     for k, b in enumerate(blocks):
         ids[: len(b), k] = b
-    open_at = np.searchsorted(-sizes, -np.arange(longest), "left")  # blocks longer than t
-    model, refresh, since = Model(n, vocabulary), refresh_places(longest), 0
-    low, width = np.zeros(n, np.uint64), np.full(n, (1 << 56) - 1, np.uint64)
-    words, pos = np.zeros((n, longest * 2 + 8), np.uint32), np.zeros(n, np.int64)
+    open_at = np.searchsorted(-sizes, -np.arange(longest), "left").tolist()  # blocks longer than t
+    model, refresh, since = Model(n, vocabulary, longest, False), refresh_places(longest), 0
+    low, width = np.zeros(n, np.uint64), np.full(n, START, np.uint64)
+    # Two words an id at most.
+    words, pos, stride = np.zeros(n * (longest * 2 + 8), np.uint32), np.arange(n) * (longest * 2 + 8), longest * 2 + 8
 
     def put(i: np.ndarray) -> None:
-        words[i, pos[i]] = low[i] >> LOW
-        pos[i] += 1
-        low[i] = (low[i] & MASK) << W16
+        at, state = pos[i], low[i]
+        words[at] = state >> LOW
+        pos[i] = at + 1
+        low[i] = (state & MASK) << W16
 
     for t in range(longest):
-        m = int(open_at[t])
+        m = open_at[t]
         if t in refresh:
-            model.refresh(ids[since:t, :m].astype(np.int64))
+            model.refresh(ids[since:t, :m], since, t)
             since = t
-        x = ids[t, :m].astype(np.int64)
+        x = ids[t, :m]
         model.predict(m)
-        below, count = model.mixed(x, m)
-        unit = width[:m] // np.uint64(model.total * WEIGHTS)
+        below, count, entry, at = model.order_0(x, m)
+        below, count = model.part(x, below, count)
+        unit = width[:m] >> SHIFT
         low[:m] += unit * below.astype(np.uint64)
         width[:m] = unit * count.astype(np.uint64)
-        for _ in range(2):
-            i = np.flatnonzero(width[:m] < MIN)
-            if not len(i):
-                break
+        i = np.flatnonzero(width[:m] < MIN)
+        while len(i):
             put(i)
-            width[i] <<= W16
-        model.learn(x, m)
+            wider = width[i] << W16
+            width[i] = wider
+            i = i[wider < MIN]
+        model.learn(x, m, t, entry, at)
     every = np.arange(n)
-    for _ in range(4):
+    for _ in range(3):
         put(every)
+    words = words.reshape(n, stride)
     while (carry := words >> 16).any():
         words &= 0xFFFF
         words[:, :-1] += carry[:, 1:]
-    return [words[k, : pos[k]].astype(">u2").tobytes() for k in range(n)]
+    return [words[k, : pos[k] - k * stride].astype(">u2").tobytes() for k in range(n)]
 
 
 def decode(blocks: list[tuple[bytes, int]], vocabulary: int) -> list[np.ndarray]:
@@ -198,39 +259,39 @@ def decode(blocks: list[tuple[bytes, int]], vocabulary: int) -> list[np.ndarray]
 def _decode(blocks: list[tuple[bytes, int]], vocabulary: int) -> list[np.ndarray]:
     n, longest = len(blocks), blocks[0][1]
     sizes = np.array([s for _, s in blocks])
-    open_at = np.searchsorted(-sizes, -np.arange(longest), "left")
+    open_at = np.searchsorted(-sizes, -np.arange(longest), "left").tolist()
     coded = [np.frombuffer(b, ">u2") for b, _ in blocks]
-    words = np.zeros((n, max(map(len, coded)) + 4), np.uint64)
+    stride = max(map(len, coded)) + 4
+    words = np.zeros((n, stride), np.uint64)
     for k, w in enumerate(coded):
         words[k, : len(w)] = w
-    byte, high = np.uint64(8), np.uint64(0xFF)
-    code = words[:, 0] << LOW | words[:, 1] << np.uint64(24) | words[:, 2] << byte | words[:, 3] >> byte
-    # The register holds 56 bits, so what follows starts in the middle of a word.
-    rest = (words[:, 3:-1] & high) << byte | words[:, 4:] >> byte
-    model, refresh, since = Model(n, vocabulary), refresh_places(longest), 0
-    width, pos = np.full(n, (1 << 56) - 1, np.uint64), np.zeros(n, np.int64)
+    code = words[:, 0] << LOW | words[:, 1] << W16 | words[:, 2]
+    words, pos, end = words.ravel(), np.arange(n) * stride + 3, np.arange(1, n + 1) * stride - 1
+    model, refresh, since = Model(n, vocabulary, longest, True), refresh_places(longest), 0
+    width = np.full(n, START, np.uint64)
     ids = np.zeros((longest, n), np.int32)
     for t in range(longest):
-        m = int(open_at[t])
+        m = open_at[t]
         if t in refresh:
-            model.refresh(ids[since:t, :m].astype(np.int64))
+            model.refresh(ids[since:t, :m], since, t)
             since = t
         model.predict(m)
-        whole = model.total * WEIGHTS
-        unit = width[:m] // np.uint64(whole)
-        v = np.minimum(code[:m] // unit, np.uint64(whole - 1)).astype(np.int64)
-        x = model.find(v, m)
-        below, count = model.mixed(x, m)
+        unit = width[:m] >> SHIFT
+        v = np.minimum(code[:m].astype(np.float64) / unit.astype(np.float64), (1 << TOTAL) - 1).astype(np.int32)
+        x, below, count, entry, at = model.find(v, m)
         code[:m] -= unit * below.astype(np.uint64)
         width[:m] = unit * count.astype(np.uint64)
+        i = np.flatnonzero(width[:m] < MIN)
         for _ in range(2):
-            i = np.flatnonzero(width[:m] < MIN)
             if not len(i):
                 break
-            code[i] = code[i] << W16 | rest[i, np.minimum(pos[i], rest.shape[1] - 1)]  # a damaged block may run on
-            pos[i] += 1
-            width[i] <<= W16
-        model.learn(x, m)
+            here = np.minimum(pos[i], end[i])  # a damaged block may run on
+            code[i] = code[i] << W16 | words[here]
+            pos[i] = here + 1
+            wider = width[i] << W16
+            width[i] = wider
+            i = i[wider < MIN]
+        model.learn(x, m, t, entry, at)
         ids[t, :m] = x
     return [ids[: blocks[k][1], k].copy() for k in range(n)]
 

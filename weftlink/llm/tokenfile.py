@@ -35,7 +35,7 @@ VOCABULARY_SIZE = 49408
 END_ID = 2
 #: Ids after which a frame is closed, and ids that a task holds before it codes them.
 FRAME = 1 << 18
-GATHER = idcoder.TOGETHER * idcoder.BLOCK // 2
+GATHER = idcoder.TOGETHER * idcoder.BLOCK
 MAGIC = b"WFT1"
 
 
@@ -108,7 +108,6 @@ def written(df: DataFrame, end_id: int = END_ID, path: str | None = None, id_col
     """Writes the ids of every document in ascending doc_id order; gives the table of frames read back from the files."""
     path = path or common.tokenizer_path(VOCABULARY)
     schema = pa.schema([("part", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()), ("frame", pa.binary())])
-    end = np.array([end_id], "<u2").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -128,9 +127,9 @@ def written(df: DataFrame, end_id: int = END_ID, path: str | None = None, id_col
         for b in batches:
             for at in range(0, b.num_rows, common.SLICE):
                 rows = b.slice(at, common.SLICE)
-                encoded = common.library_table(path, 2, False).look_up(rows.column("text").to_pylist())
-                for doc, units in zip(rows.column("doc_id").to_pylist(), encoded):
-                    ids = np.frombuffer(b"".join(units) + end, "<u2")
+                encoded = common.word_ends(path).look_up(rows.column("text").to_pylist())
+                for doc, own in zip(rows.column("doc_id").to_pylist(), encoded):
+                    ids = np.append(own, np.uint16(end_id))
                     if not held or sizes[-1] >= FRAME or sizes[-1] + len(ids) > 2 * FRAME:
                         if sum(sizes) >= GATHER:
                             yield flush()
