@@ -85,6 +85,59 @@ def test_sweep_is_near_the_bound_and_never_overfills():
         assert sum(m for _, _, m, _, _ in placed) == sum(counts.values())
 
 
+def plain_best_fit_decreasing(sizes, capacity):
+    """Rooms of the bins, one size at a time."""
+    rooms = []
+    for size in sorted(sizes, reverse=True):
+        fits = [i for i, room in enumerate(rooms) if room >= size]
+        if fits:
+            rooms[min(fits, key=lambda i: (rooms[i], i))] -= size
+        else:
+            rooms.append(capacity - size)
+    return rooms
+
+
+def test_sweep_needs_no_more_than_plain_best_fit_decreasing():
+    r = random.Random(31)
+    for _ in range(40):
+        counts = {length: r.randint(1, 12) for length in r.sample(range(1, 65), r.randint(1, 40))}
+        _, n = packing.sweep(counts, 64)
+        assert n == len(plain_best_fit_decreasing([x for x, m in counts.items() for _ in range(m)], 64))
+
+
+def test_pieces_of_cut_documents_equal_the_library(spark):
+    r = random.Random(32)
+    rows = [(i, "".join(r.choice(BITS) for _ in range(r.choice([3, 40, 400])))) for i in range(60)] + [(99, "word " * 30_000), *ODD]
+    tok = library("byte_bpe_50k.json")
+    want = Counter()
+    for i, t in rows:
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
+        at, length = 0, (len(ids) - 1) % 64 + 1
+        for piece in range(-(-len(ids) // 64)):
+            want[i, piece, at, length, zlib.crc32(np.array(ids[at : at + length], "<u4").tobytes())] += 1
+            at, length = at + length, 64
+    got = packing.pack(spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, length int, sequence_id int"), capacity=64).collect()
+    assert Counter((x["doc_id"], x["piece"], x["start"], x["length"], x["ids_crc32"]) for x in got) == want
+    assert len({x["sequence_id"] for x in got}) == len(plain_best_fit_decreasing([x["length"] for x in got], 64))
+
+
+def test_whole_text_encoders_equal_the_library():
+    ts = [*texts(3000, 33), "a" * 5000, " " * 5000 + "x", "é" * 3000, "x\x01y", "ΑΣ ΑΣΑ", "it's 'tis ''s 'veto x'll"]
+    path, tok = common.tokenizer_path("byte_bpe_50k.json"), library("byte_bpe_50k.json")
+    assert common.same_merges(path)
+    assert all(common.text_encoder(path)(t).tolist() == tok.encode(t, add_special_tokens=False).ids for t in ts)
+    tok, words = library("word_bpe_49k.json"), common.word_ends(common.tokenizer_path("word_bpe_49k.json"))
+    assert words.sure
+    for at in range(0, len(ts), 100):
+        for t, ids in zip(ts[at : at + 100], words.look_up(ts[at : at + 100])):
+            assert ids.tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+    # Every character among letters, digits, signs and spaces; the driver's box has the libraries' tables alike.
+    for low in range(0, 0x30000, 1024):
+        some = [f"a{c}1{c}!{c} {c}{c}  {c}b \n{c}'s" for c in map(chr, range(low, low + 1024)) if not "\ud800" <= c <= "\udfff"]
+        for t, ids, e in zip(some, words.look_up(some), tok.encode_batch_fast(some, add_special_tokens=False)):
+            assert ids.tolist() == e.ids, repr(t)
+
+
 # 3: token counts
 
 

@@ -82,17 +82,27 @@ def sweep(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, i
                 if not gaps[size]:
                     del gaps[size]
                     sizes.pop(k)
-                m = min(n, left)
-                if n > m:
-                    free(size, first + m, n - m)
+                each = size // length
             else:
-                # New sequences take as many of these pieces as they hold.
-                size, first = capacity, opened
-                m = -(-left // (capacity // length))
-                opened += m
-            placed.append((length, rank, m, first, capacity - size))
-            free(size - length, first, m)
-            rank, left = rank + m, left - m
+                # New sequences, as many as these pieces need.
+                each = capacity // length
+                size, first, n = capacity, opened, -(-left // each)
+                opened += n
+            # A gap takes what it holds of equal pieces before the next one is touched; the last may take fewer.
+            whole = min(n, left // each)
+            runs = [(whole, first, j) for j in range(each if whole else 0)]
+            rest = min(left - whole * each, each) if whole < n else 0
+            runs += [(1, first + whole, j) for j in range(rest)]
+            for m, at, j in runs:
+                placed.append((length, rank, m, at, capacity - size + j * length))
+                rank, left = rank + m, left - m
+            if whole:
+                free(size - each * length, first, whole)
+            if rest:
+                free(size - rest * length, first + whole, 1)
+            used = whole + (rest > 0)
+            if used < n:
+                free(size, first + used, n - used)
     return placed, opened
 
 
@@ -130,7 +140,10 @@ def packed(table: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack(df: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     # Saved, as the range sort reads its input twice and tokenizing is the costly part.
-    return common.null_ids(packed(common.saved(pieces(df, capacity, end_id, path, id_col, text_col), "cut"), capacity))
+    cut = common.saved(pieces(df, capacity, end_id, path, id_col, text_col), "cut")
+    out = packed(cut, capacity)
+    common.dropped(cut)
+    return common.null_ids(out)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
