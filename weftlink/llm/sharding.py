@@ -172,6 +172,7 @@ def shards_by_bytes(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id",
         .select("doc_id", "size", "text_crc32", F.coalesce("big_shard", "small_shard").alias("shard"))
     )
     out = common.ranked(dealt, "shard", ["doc_id", "text_crc32"], "slots", "slot")
+    common.dropped(rows)
     return common.null_ids(out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")))
 
 

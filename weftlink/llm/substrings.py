@@ -143,7 +143,9 @@ def duplicate_spans(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, i
     )
     earliest = common.saved(windows.groupBy("anchor", "seen").agg(F.min("doc_id").alias("earliest")), "earliest")
     single = windows.join(earliest, ["anchor", "seen"]).where("earliest < doc_id").select("doc_id", "row_hash", F.col("first").alias("low"), (F.col("first") + window).alias("high"))
-    return whole.unionByName(single).distinct().groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    out = common.saved(whole.unionByName(single).distinct().groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("low", "high")).alias("spans")), "spans")
+    common.dropped(index, firsts, several, windows, earliest)
+    return out
 
 
 def parsed(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

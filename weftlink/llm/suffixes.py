@@ -243,7 +243,9 @@ def duplicate_spans(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, i
     across = found.where("seen is not null")
     several = common.saved(across.groupBy("anchor", "seen").agg(F.sum("copies").alias("c")).where("c > 1").select("anchor", "seen"), "several")
     late = across.where("copies = 1").join(several, ["anchor", "seen"]).select("doc_id", "row_hash", "low", "high")
-    return whole.unionByName(spans).unionByName(late).distinct().groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    out = common.saved(whole.unionByName(spans).unionByName(late).distinct().groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("low", "high")).alias("spans")), "spans")
+    common.dropped(index, firsts, twice, partial, per_anchor, found, several)
+    return out
 
 
 def digests(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
