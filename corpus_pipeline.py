@@ -20,5 +20,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = common.saved(stage(spark, docs, sf_dir), name)
+        after = common.saved(stage(spark, docs, sf_dir), name)
+        common.dropped(docs)  # what the stage read; the input table is none of ours
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
