@@ -171,18 +171,21 @@ def specific_tokens(tokens: Column) -> Column:
     return F.filter(left, lambda w: F.length(w) >= 3)
 
 
+def _grams(s: Column, n: int) -> Column:
+    """All n-grams in order by one pass; substr would walk the text from its start for each."""
+    return F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+
+
 def ngrams(clean: Column, n: int) -> Column:
     """All n-grams in order, spaces as underscores, repeats kept."""
-    s = F.replace(clean, F.lit(" "), F.lit("_"))
-    return F.when(F.length(s) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - n + 1, F.lit(1))), lambda i: F.substr(s, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return _grams(F.replace(clean, F.lit(" "), F.lit("_")), n)
 
 
 def ngram_set(clean: Column, n: int, short: bool = False) -> Column:
     """Distinct n-grams of the text without spaces, in order; a shorter text gives none, or itself with short."""
     s = F.replace(clean, F.lit(" "), F.lit(""))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - n + 1, F.lit(1))), lambda i: F.substr(s, i, F.lit(n))))
-    rest = F.when(s != "", F.array(s)).otherwise(F.array().cast("array<string>")) if short else F.array().cast("array<string>")
-    return F.when(F.length(s) >= n, grams).otherwise(rest)
+    grams = F.array_distinct(_grams(s, n))
+    return F.when((F.length(s) < n) & (s != ""), F.array(s)).otherwise(grams) if short else grams
 
 
 # Numbers in addresses --------------------------------------------------------

@@ -94,10 +94,21 @@ def _common(a: str, b: str) -> int:
     return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
-def _pairs(f: Callable[[str, str], float]) -> Callable[[Column, Column], Column]:
+def _pairs(f: Callable[[str, str], float], either: bool = False) -> Callable[[Column, Column], Column]:
+    """either: f is the same both ways round, so a pair is computed once in a batch."""
+
     @F.pandas_udf(T.DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([f(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
+        if not either:
+            return pd.Series([f(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
+        seen: dict[tuple[str, str], float] = {}
+        out = []
+        for x, y in zip(a, b):
+            key = (x or "", y or "") if (x or "") <= (y or "") else (y or "", x or "")
+            if key not in seen:
+                seen[key] = f(*key)
+            out.append(seen[key])
+        return pd.Series(out, dtype="float64")
 
     return run
 
@@ -118,18 +129,19 @@ def ratio(a: str, b: str) -> float:
 
 def indel_ratio(a: Column, b: Column) -> Column:
     """1 - insertions and deletions per character: both empty 1, one empty 0."""
-    return _pairs(lambda x, y: ratio(x, y) if x and y else float(x == y))(a, b)
+    return _pairs(_full, True)(a, b)
 
 
 def lcs_ratio(a: Column, b: Column) -> Column:
     """As indel_ratio, but 0 if either is empty."""
-    return _pairs(lambda x, y: ratio(x, y) if x and y else 0.0)(a, b)
+    return _pairs(lambda x, y: ratio(x, y) if x and y else 0.0, True)(a, b)
 
 
 def _token_set(x: str, y: str) -> float:
     s, t = set(x.split()), set(y.split())
     both = " ".join(sorted(s & t))
-    return max(_full(both, " ".join(sorted(s))), _full(both, " ".join(sorted(t))))
+    # The common words in order are a subsequence of either side's words in order.
+    return max(2.0 * len(both) / (len(both) + n) if both else float(n == 0) for n in (len(" ".join(s)), len(" ".join(t))))
 
 
 def _full(x: str, y: str) -> float:
@@ -137,12 +149,12 @@ def _full(x: str, y: str) -> float:
 
 
 def token_sort_ratio(a: Column, b: Column) -> Column:
-    return _pairs(lambda x, y: _full(" ".join(sorted(x.split())), " ".join(sorted(y.split()))))(a, b)
+    return _pairs(lambda x, y: _full(" ".join(sorted(x.split())), " ".join(sorted(y.split()))), True)(a, b)
 
 
 def token_set_ratio(a: Column, b: Column) -> Column:
     """The better ratio of the common words, sorted, with either side's words, sorted."""
-    return _pairs(_token_set)(a, b)
+    return _pairs(_token_set, True)(a, b)
 
 
 def best_ratio(word: str, others: dict[int, list[str]]) -> float:
@@ -183,4 +195,4 @@ def gram_cosine_of(a: str, b: str, n: int = 3) -> float:
 
 
 def gram_cosine(a: Column, b: Column) -> Column:
-    return _pairs(gram_cosine_of)(a, b)
+    return _pairs(gram_cosine_of, True)(a, b)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftlink.functions import similarity as S
+from weftlink.operators.metrics import hits, k_sweep, true_counts, true_total
 from weftlink.operators.scoring import side
 
 
@@ -15,16 +18,20 @@ def failure_stages(truth: DataFrame, blocked: DataFrame, ranked: DataFrame, scor
     blocked, ranked, scored and accepted are (s1, cid) tables of later and later
     stages; scored has score (-1: rejected outright).
     """
-    t = truth.select("s1", "cid").distinct()
-    for name, df in (("blocked", blocked), ("kept", ranked), ("accepted", accepted)):
-        t = t.join(df.select("s1", "cid").distinct().withColumn(name, F.lit(True)), ["s1", "cid"], "left")
-    t = t.join(scored.select("s1", "cid", "score").dropDuplicates(["s1", "cid"]), ["s1", "cid"], "left")
+    key = ["s1", "cid"]
+    flag = lambda df, name: df.select(*key).distinct().withColumn(name, F.lit(True))
+    every = flag(blocked, "blocked").join(flag(accepted, "accepted"), key, "full")
+    t = hits(every, truth).where("hit = 1").join(flag(ranked, "kept"), key, "left").join(scored.select(*key, "score").dropDuplicates(key), key, "left")
     stage = (
         F.when(F.col("accepted"), "accepted").when(F.col("blocked").isNull(), "not blocked").when(F.col("kept").isNull(), "pruned")
         .when(F.col("score") < 0, "hard reject").when(F.col("score") < tau, "below threshold").otherwise("address floor")
     )
     n = t.groupBy(stage.alias("stage")).agg(F.count(F.lit(1)).alias("n"))
-    return n.crossJoin(F.broadcast(t.agg(F.count(F.lit(1)).alias("total")))).select("stage", "n", (F.col("n") / F.col("total")).alias("share"))
+    # True pairs that no stage has seen are counted, not listed.
+    total = true_total(truth).select(F.col("n_true").alias("total"))
+    unseen = n.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("seen")).crossJoin(F.broadcast(total)).select(F.lit("not blocked").alias("stage"), (F.col("total") - F.col("seen")).alias("n"))
+    n = n.unionByName(unseen).groupBy("stage").agg(F.sum("n").alias("n")).where("n > 0")
+    return n.crossJoin(F.broadcast(total)).select("stage", "n", (F.col("n") / F.col("total")).alias("share"))
 
 
 def error_kinds(wrong: DataFrame) -> DataFrame:
@@ -40,14 +47,29 @@ def error_kinds(wrong: DataFrame) -> DataFrame:
 
 def singleton_errors(accepted: DataFrame, truth: DataFrame) -> DataFrame:
     """(s1, cid, score): the best accepted pair of entities that have no match."""
-    lone = accepted.join(truth.select("s1").distinct(), "s1", "left_anti")
+    lone = accepted.join(true_counts(truth).select("s1"), "s1", "left_anti")
     return lone.groupBy("s1").agg(F.max(F.struct("score", "cid")).alias("b")).select("s1", "b.cid", "b.score")
 
 
-def wrong_pairs(accepted: DataFrame, truth: DataFrame) -> DataFrame:
-    """(s1, cid, error): accepted but untrue, or true but not accepted."""
-    a, t = accepted.select("s1", "cid").distinct(), truth.select("s1", "cid").distinct()
-    return a.join(t, ["s1", "cid"], "left_anti").withColumn("error", F.lit("false")).unionByName(t.join(a, ["s1", "cid"], "left_anti").withColumn("error", F.lit("missed")))
+def wrong_pairs(accepted: DataFrame, truth: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
+    """(s1, cid, error, n): accepted but untrue pairs, and true ones not accepted.
+
+    Of a truth in pairs the missed ones are listed, with retrieved if blocked
+    pairs are given; of a truth in classes they are counted for each entity
+    (cid null), as a class has too many pairs to list.
+    """
+    a = accepted.select("s1", "cid").distinct()
+    false = hits(a, truth).where("hit is null").select("s1", "cid", F.lit("false").alias("error"), F.lit(1).cast("long").alias("n"))
+    if "class" in truth.columns:
+        found = hits(a, truth).groupBy("s1").agg(F.count("hit").alias("tp"))
+        left = F.col("n_true") - F.coalesce("tp", F.lit(0))
+        missed = true_counts(truth).join(found, "s1", "left").select("s1", F.lit(None).cast("string").alias("cid"), F.lit("missed").alias("error"), left.alias("n")).where("n > 0")
+        return false.unionByName(missed)
+    missed = truth.select("s1", "cid").distinct().join(a, ["s1", "cid"], "left_anti").withColumn("error", F.lit("missed")).withColumn("n", F.lit(1).cast("long"))
+    out = false.unionByName(missed)
+    if blocked is None:
+        return out
+    return out.join(blocked.select("s1", "cid").distinct().withColumn("retrieved", F.lit(True)), ["s1", "cid"], "left").na.fill(False, ["retrieved"])
 
 
 def profile(df: DataFrame, id_col: str) -> DataFrame:
@@ -64,7 +86,7 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 def match_histogram(spine: DataFrame, truth: DataFrame, most: int = 15) -> DataFrame:
     """(matches, entities) for the smallest ``most`` numbers of matches."""
-    n = truth.select("s1", "cid").distinct().groupBy("s1").agg(F.count(F.lit(1)).alias("matches"))
+    n = true_counts(truth).withColumnRenamed("n_true", "matches")
     all_ = spine.select("s1").distinct().join(n, "s1", "left").na.fill(0, ["matches"])
     return all_.groupBy("matches").agg(F.count(F.lit(1)).alias("entities")).orderBy("matches").limit(most)
 
@@ -73,3 +95,30 @@ def frequent_first_words(df: DataFrame, column: str, n: int = 500) -> DataFrame:
     """(word, n): the most frequent first words; ties by word."""
     word = F.split(F.lower(F.trim(F.col(column))), r"\s+").getItem(0)
     return df.select(word.alias("word")).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "word").limit(n)
+
+
+def largest(n: DataFrame, least: int = 10, most: int = 500) -> DataFrame:
+    """(s1, n_pred) of the entities with at least ``least`` predictions, the ``most`` largest; ties by id."""
+    return n.where(F.col("n_pred") >= least).select("s1", "n_pred").orderBy(F.col("n_pred").desc(), "s1").limit(most)
+
+
+def retrieval_loss(spine: DataFrame, ranked: dict[str, DataFrame], truth: DataFrame, ks: list[int]) -> DataFrame:
+    """(mode, k, pairs, hits, pair_recall): rankings by name, such as three cap modes, each at every K."""
+    out = None
+    for mode, df in ranked.items():
+        part = k_sweep(spine, df, truth, ks).select(F.lit(mode).alias("mode"), "k", "pairs", "hits", "pair_recall")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def throughput(stages: dict[str, Callable[[], DataFrame]], units: dict[str, int] | None = None) -> list[dict]:
+    """Runs the stages one after the other and gives stage, seconds, rows and rows (or the stage's units) a second; rows are counted, not kept."""
+    import time
+
+    out = []
+    for name, make in stages.items():
+        began = time.perf_counter()
+        rows = make().count()
+        seconds = time.perf_counter() - began
+        out.append({"stage": name, "seconds": seconds, "rows": rows, "per_second": (units or {}).get(name, rows) / max(seconds, 1e-9)})
+    return out

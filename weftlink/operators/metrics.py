@@ -6,13 +6,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def hits(pairs: DataFrame, truth: DataFrame) -> DataFrame:
+    """Adds hit, 1 for a true pair and null for any other.
+
+    truth is a table of true pairs (s1, cid), or one of classes (id, class) whose
+    members are each other's matches (a null class: none); a class is never
+    expanded into its pairs, so it may hold any share of the records.
+    """
+    if "class" in truth.columns:
+        of = lambda side: truth.select(F.col("id").alias(side), F.col("class").alias(f"_{side}"))
+        both = pairs.join(of("s1"), "s1", "left").join(of("cid"), "cid", "left")
+        return both.withColumn("hit", F.when((F.col("_s1") == F.col("_cid")) & (F.col("s1") != F.col("cid")), 1)).select(*pairs.columns, "hit")
+    return pairs.join(truth.select("s1", "cid").distinct().withColumn("hit", F.lit(1)), ["s1", "cid"], "left")
+
+
+def true_counts(truth: DataFrame) -> DataFrame:
+    """(s1, n_true) of entities that have a match."""
+    if "class" in truth.columns:
+        size = truth.where(F.col("class").isNotNull()).groupBy("class").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        return truth.join(size, "class").select(F.col("id").alias("s1"), (F.col("n") - 1).alias("n_true"))
+    return truth.select("s1", "cid").distinct().groupBy("s1").agg(F.count(F.lit(1)).alias("n_true"))
+
+
+def true_total(truth: DataFrame) -> DataFrame:
+    """One row: n_true, the number of true pairs."""
+    return true_counts(truth).agg(F.coalesce(F.sum("n_true"), F.lit(0)).alias("n_true"))
+
+
 def counts(spine: DataFrame, predicted: DataFrame, truth: DataFrame) -> DataFrame:
     """(s1, n_pred, n_true, tp) for every s1 of the spine; pairs are taken once."""
-    p = predicted.select("s1", "cid").distinct().withColumn("p", F.lit(1))
-    t = truth.select("s1", "cid").distinct().withColumn("t", F.lit(1))
-    both = p.join(t, ["s1", "cid"], "full")
-    n = both.groupBy("s1").agg(F.count("p").alias("n_pred"), F.count("t").alias("n_true"), F.count_if(F.col("p").isNotNull() & F.col("t").isNotNull()).alias("tp"))
-    return spine.select("s1").distinct().join(n, "s1", "left").na.fill(0, ["n_pred", "n_true", "tp"])
+    found = hits(predicted.select("s1", "cid").distinct(), truth).groupBy("s1").agg(F.count(F.lit(1)).alias("n_pred"), F.count("hit").alias("tp"))
+    every = spine.select("s1").distinct().join(found, "s1", "left").join(true_counts(truth), "s1", "left").na.fill(0, ["n_pred", "n_true", "tp"])
+    return every.select("s1", "n_pred", "n_true", "tp")
 
 
 def f_half(precision: Column, recall: Column) -> Column:
@@ -62,6 +87,11 @@ def macro(spine: DataFrame, predicted: DataFrame, truth: DataFrame, convention:
     )
 
 
+def over_predictions(predicted: DataFrame, truth: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """macro() over the prediction's own entities: those of keys (s1), or of the predicted pairs where no file lists the empty ones."""
+    return macro((predicted if keys is None else keys).select("s1"), predicted, truth)
+
+
 def cardinality(n: DataFrame) -> DataFrame:
     """One row on n_pred: mean, median, upper percentiles, most, and shares of empty, 5 and 10 or more."""
     p = F.col("n_pred")
@@ -74,7 +104,7 @@ def cardinality(n: DataFrame) -> DataFrame:
 
 
 def blocking_quality(spine: DataFrame, pool_size: DataFrame, pairs: DataFrame, truth: DataFrame) -> DataFrame:
-    """One row: pair recall, entity-perfect recall, any-hit recall, mean and most candidates, reduction ratio."""
+    """One row: pair recall, entity-perfect recall, any-hit recall, mean, median and most candidates, reduction ratio."""
     n = counts(spine, pairs, truth)
     true = F.col("n_true") > 0
     return n.crossJoin(F.broadcast(pool_size.agg(F.count(F.lit(1)).alias("pool")))).agg(
@@ -82,6 +112,7 @@ def blocking_quality(spine: DataFrame, pool_size: DataFrame, pairs: DataFrame, t
         F.avg(F.when(true, (F.col("tp") == F.col("n_true")).cast("double"))).alias("perfect_recall"),
         F.avg(F.when(true, (F.col("tp") > 0).cast("double"))).alias("hit_recall"),
         F.avg("n_pred").alias("mean_candidates"),
+        F.percentile("n_pred", F.lit(0.5)).alias("median_candidates"),
         F.max("n_pred").alias("most_candidates"),
         F.count_if(~true & (F.col("n_pred") > 0)).alias("singletons_with_candidates"),
         (1.0 - F.sum("n_pred") / (F.count(F.lit(1)) * F.max("pool"))).alias("reduction_ratio"),
@@ -90,18 +121,16 @@ def blocking_quality(spine: DataFrame, pool_size: DataFrame, pairs: DataFrame, t
 
 def k_sweep(spine: DataFrame, ranked: DataFrame, truth: DataFrame, ks: list[int]) -> DataFrame:
     """(k, pairs, hits, pair_recall) for prefixes of one ranking, in one pass over the ranked pairs."""
-    hits = ranked.join(truth.select("s1", "cid").distinct().withColumn("hit", F.lit(1)), ["s1", "cid"], "left")
-    total = truth.select("s1", "cid").distinct().agg(F.count(F.lit(1)).alias("n_true"))
-    row = hits.agg(*(F.count_if(F.col("rn") <= k).alias(f"p{k}") for k in ks), *(F.count_if((F.col("rn") <= k) & F.col("hit").isNotNull()).alias(f"h{k}") for k in ks))
+    total = true_total(truth)
+    row = hits(ranked.select("s1", "cid", "rn"), truth).agg(*(F.count_if(F.col("rn") <= k).alias(f"p{k}") for k in ks), *(F.count_if((F.col("rn") <= k) & F.col("hit").isNotNull()).alias(f"h{k}") for k in ks))
     rows = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"p{k}").alias("pairs"), F.col(f"h{k}").alias("hits")) for k in ks))).alias("x")
     return row.select(rows).select("x.*").crossJoin(F.broadcast(total)).select("k", "pairs", "hits", (F.col("hits") / F.greatest("n_true", F.lit(1))).alias("pair_recall"))
 
 
 def channel_recall(pairs: DataFrame, truth: DataFrame) -> DataFrame:
     """(channel, hits, recall) of each channel and of all together, of pairs with their channels."""
-    t = truth.select("s1", "cid").distinct()
-    hits = pairs.join(t, ["s1", "cid"])
-    each = hits.select(F.explode("channels").alias("channel")).groupBy("channel").agg(F.count(F.lit(1)).alias("hits"))
-    every = hits.agg(F.lit("all").alias("channel"), F.count(F.lit(1)).alias("hits"))
-    total = t.agg(F.count(F.lit(1)).alias("n_true"))
+    found = hits(pairs.select("s1", "cid", "channels"), truth).where("hit = 1")
+    each = found.select(F.explode("channels").alias("channel")).groupBy("channel").agg(F.count(F.lit(1)).alias("hits"))
+    every = found.agg(F.lit("all").alias("channel"), F.count(F.lit(1)).alias("hits"))
+    total = true_total(truth)
     return each.unionByName(every.select("channel", "hits")).crossJoin(F.broadcast(total)).select("channel", "hits", (F.col("hits") / F.greatest("n_true", F.lit(1))).alias("recall"))

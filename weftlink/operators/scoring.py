@@ -6,6 +6,8 @@ once by ``with_kernels`` and read as columns, so no UDF runs twice for a pair.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -223,25 +225,49 @@ def cascade(tau: float, high: float, floor: float) -> Column:
     return ~e["state"] & accept
 
 
-def production_rules(jw_high: float = 0.94) -> Column:
-    """Boolean rules: equal or contained names, stems, then cases A to C."""
-    e, jw = _evidence(), F.col("jw")
+@dataclass(frozen=True)
+class Rules:
+    """Limits of the boolean rules.
+
+    equal_backed: equal names stand against conflicting digits if the addresses
+    share a specific word; gap: length difference of a contained name; stem:
+    least length of a domain's stem; high: Jaro-Winkler for a near-equal name;
+    contained: the same where all tokens of the shorter name are shared;
+    address: the same where the addresses agree.
+    """
+
+    high: float = 0.94
+    equal_backed: bool = True
+    gap: int = 2
+    stem: int = 5
+    contained: float = 0.88
+    address: float = 0.70
+
+
+RULES = {"production": Rules(), "optimised": Rules(), "strict": Rules(0.96, False, 1, 6, 0.90, 0.75)}
+
+
+def boolean_rules(rules: Rules = RULES["production"]) -> Column:
+    """Equal or contained names, stems, then cases A to C; a state conflict rejects."""
+    e, jw = _evidence(), F.when((F.col("l.clean_name") != "") & (F.col("r.clean_name") != ""), F.col("jw")).otherwise(0.0)
     a1, a2 = side("alpha")
     d1, d2 = side("domain")
     free = ~e["against"]
-    close = (F.length(a1) >= 8) & (F.length(a2) >= 8) & (F.abs(F.length(a1) - F.length(a2)) <= 2) & S.within(a1, a2)
+    close = (F.length(a1) >= 8) & (F.length(a2) >= 8) & (F.abs(F.length(a1) - F.length(a2)) <= rules.gap) & S.within(a1, a2)
 
     def stem(d: Column, a: Column) -> Column:
-        return (F.length(d) >= 5) & ((d == a) | ((F.length(d) >= 8) & (a != "") & S.within(d, a)))
+        # An empty name stands inside every stem.
+        return (F.length(d) >= rules.stem) & ((d == a) | ((F.length(d) >= 8) & ((a == "") | S.within(d, a))))
 
     backed = ~e["both_specific"] | (e["specific"] >= 1) | e["digits"]
     strong = (e["specific"] >= 2) | ((e["specific"] >= 1) & e["digits"])
+    equal = S.same(a1, a2) & ((free | (e["specific"] >= 1)) if rules.equal_backed else free)
     accept = (
-        (S.same(a1, a2) & (free | (e["specific"] >= 1)))
+        equal
         | (free & (close | stem(d2, a1) | stem(d1, a2)))
-        | (free & (jw >= jw_high) & (backed | (jw >= 0.98)))
-        | (free & (jw >= 0.88) & (e["fewest"] >= 2) & (e["common"] >= e["fewest"]) & backed)
-        | (free & strong & (e["indic"] | (jw >= 0.70) | (e["common"] >= 1)))
+        | (free & (jw >= rules.high) & (backed | (jw >= 0.98)))
+        | (free & (jw >= rules.contained) & (e["fewest"] >= 2) & (e["common"] >= e["fewest"]) & backed)
+        | (free & strong & (e["indic"] | (jw >= rules.address) | (e["common"] >= 1)))
     )
     return ~e["state"] & accept
 
@@ -310,7 +336,7 @@ def decided(pairs: DataFrame, preset: Preset) -> DataFrame:
         late = preset.normaliser.startswith("suffixed")
         withk = with_kernels(pairs, 50 if late else 40, "any", ordered=preset.score == "p9")
         if preset.score == "rules":
-            out = withk.withColumn("score", F.col("jw")).where(production_rules(preset.options.get("jw", 0.94)))
+            out = withk.withColumn("score", F.col("jw")).where(boolean_rules(RULES[preset.options.get("rules", "production")]))
         else:
             address = address_similarity({"l3": "best", "l4": "late"}.get(preset.score, "raw"))
             scored = withk.withColumn("score", match_score(preset.score)).withColumn("address", address)

@@ -59,7 +59,7 @@ def normalised(df: DataFrame, family: str) -> DataFrame:
         (text.name_tokens(cn) if family == "contracting" else text.content_tokens(cn, least=3) if family == "noise" else text.content_tokens(cn) if family == "joined" else F.array_except(text.word_set(cn), text.literals(fixed.SHORT_STOPWORDS)) if family.startswith("suffixed") else text.word_set(cn)).alias("name_tokens"),
         text.content_tokens(cn, least=3).alias("content_tokens"),
         text.word_set(F.coalesce(F.col("folded"), cn)).alias("raw_tokens"),
-        text.word_set(ca).alias("addr_tokens"),
+        (F.array_except(text.word_set(ca), text.literals(fixed.SHORT_STOPWORDS)) if family.startswith("suffixed") else text.word_set(ca)).alias("addr_tokens"),
         text.expanded(ca, table, keep_short=family == "joined").alias("expanded"),
         text.specific_tokens(text.word_set(ca)).alias("specific"),
         text.ngram_set(cn, 3).alias("ng3"), text.ngram_set(cn, 4).alias("ng4"),

@@ -92,7 +92,8 @@ PRESETS = {
         Preset("phase10b", "spaced", _n3(grams=30), 130, "cid", "l3", "tiered", 0.53, 0.75, 0.22),
         Preset("phase16", "late", _PHASE16, 100, "p3", "l4", "tiered", 0.52, 0.78, 0.22, 10, ("state",)),
         Preset("argmax", "suffixed", _PRODUCTION, None, "cid", "affinity", "argmax", 0.70, 0.75),
-        Preset("strict", "suffixed", _PRODUCTION, None, "cid", "rules", "strict", options={"jw": 0.96}),
+        Preset("optimised", "suffixed", _PRODUCTION, None, "cid", "rules", "rules", options={"rules": "optimised"}),
+        Preset("strict", "suffixed", _PRODUCTION, None, "cid", "rules", "rules", options={"rules": "strict"}),
         Preset("challenger_hybrid", "late", _CHALLENGER, 100, "p3b", "model", "hybrid", 0.48, 0.70, 0.16, 10, ("state",)),
     )
 }

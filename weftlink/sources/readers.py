@@ -19,11 +19,14 @@ def tsv(spark: SparkSession, path: str, schema: str = ENTITY, quoted: bool = Fal
 
 
 def tsv_by_position(spark: SparkSession, path: str, columns: list[str], header: bool = True) -> DataFrame:
-    """Lines split at tabs; lines with fewer fields than columns are left out, bytes that are no UTF-8 are dropped."""
-    parts = F.split(F.col("value"), "\t", -1)
+    """Lines split at tabs; lines with fewer fields than columns are left out, as are lines that say what the first one (the header) says; bytes that are no UTF-8 are dropped."""
     lines = spark.read.text(path)
-    kept = lines.where(F.size(parts) >= len(columns)).select(*(F.replace(F.get(parts, F.lit(i)), F.lit("�"), F.lit("")).alias(c) for i, c in enumerate(columns)))
-    return kept.where(F.col(columns[0]) != columns[0]) if header else kept
+    head = lines.limit(1).collect() if header else []
+    if head:
+        lines = lines.where(F.col("value") != F.lit(head[0]["value"]))
+    clean = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit("")))
+    parts = F.split(clean, "\t", -1)
+    return lines.where(F.size(parts) >= len(columns)).select(*(F.get(parts, F.lit(i)).alias(c) for i, c in enumerate(columns)))
 
 
 def tsv_by_header(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:
@@ -99,6 +102,19 @@ def settings(spark: SparkSession, path: str) -> dict:
     return json.loads("\n".join(r["value"] for r in spark.read.text(path).collect()))
 
 
-def fingerprint(spark: SparkSession, path: str, first: int = 1 << 20) -> DataFrame:
-    """(path, sha256 of the first bytes) of each file."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2(F.substring("content", 1, first), 256).alias("sha256"))
+def fingerprint(spark: SparkSession, path: str, first: int = 64 << 20) -> DataFrame:
+    """(path, size, sha256 of the first bytes) of each file of a path or pattern; no more than these bytes are read."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    rows = []
+    for status in sorted(fs.globStatus(at) or [], key=lambda s: s.getPath().toString()):
+        found = [x for x in fs.listStatus(status.getPath()) if x.isFile()] if status.isDirectory() else [status]
+        for f in found:
+            stream = fs.open(f.getPath())
+            try:
+                digest = jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(jvm.org.apache.commons.io.input.BoundedInputStream(stream, first))
+            finally:
+                stream.close()
+            rows.append((f.getPath().toString(), f.getLen(), digest))
+    return spark.createDataFrame(rows, "path string, size long, sha256 string")
