@@ -237,8 +237,8 @@ def test_substring_dedup_against_brute_force(spark):
 
 
 def test_cut_text_keeps_what_stands_between():
-    assert substrings.cut_text("a  b\nc d", [{"low": 1, "high": 3}]) == "a  d"
-    assert substrings.cut_text("a b", [{"low": 0, "high": 2}]) == ""
+    assert substrings.cut_text("a  b\nc d", [{"low": 1, "high": 3}], 2) == "a  d"
+    assert substrings.cut_text("a b", [{"low": 0, "high": 2}], 2) == ""
 
 
 # 8: suffix-array dedup

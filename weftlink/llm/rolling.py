@@ -74,6 +74,21 @@ def blocks(units: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.
     return grams[at[first]], content, first, n, windows
 
 
+def factors(phrases: list[tuple[int, int]], window: int) -> list[tuple[int, int]]:
+    """Longest runs of windows, given as phrases [low, high) that hold one window or more; in order, shorter than a window dropped.
+
+    A phrase goes into the running factor if its first window begins no later
+    than right behind the factor's last one.
+    """
+    out: list[tuple[int, int]] = []
+    for low, high in sorted(phrases):
+        if out and low <= out[-1][1] - window + 1:
+            out[-1] = out[-1][0], max(out[-1][1], high)
+        else:
+            out.append((low, high))
+    return [f for f in out if f[1] - f[0] >= window]
+
+
 def covered(length: int, ranges: list[tuple[int, int]]) -> np.ndarray:
     """Whether each of length places lies in one of the ranges [low, high)."""
     edge = np.zeros(length + 1, np.int64)

@@ -1,4 +1,10 @@
-"""Operators as pipeline stages: documents in, documents out, all columns kept."""
+"""Operators as pipeline stages: documents in, documents out, all columns kept.
+
+For every stage: a null text is the empty one, a null doc_id a value of its own;
+texts are read whole, whatever their length; other columns, whatever their
+names, travel in one struct and meet none of the stage's own; an empty table
+gives an empty table of the same columns.
+"""
 
 from __future__ import annotations
 
@@ -17,7 +23,7 @@ SHINGLE, PERCENT = 5, 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that no rule rejects."""
+    """Rows that no rule rejects, as they came; repeated rows are judged alike, so all of them stay or go."""
     return quality.filtered(docs)
 
 
@@ -43,16 +49,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, the texts without the words of repeated windows; n_chars, where there is one, is the new text's."""
+    """All rows, the texts without the words of repeated windows; n_chars, where there is one, is the new text's.
+
+    Rows with one doc_id are no reference for each other, so repeated rows keep
+    their words; a text that is removed whole becomes the empty text.
+    """
     spans = substrings.duplicate_spans(docs).select(F.col("doc_id").alias(KEY), F.col("row_hash").alias(HASH), F.col("spans").alias(SPANS))
     keyed = docs.select(F.struct(*docs.columns).alias(ROW), F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NULL_ID)).alias(KEY), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias(HASH))
-    joined = keyed.join(spans, [KEY, HASH], "left").select(f"{ROW}.*", SPANS)
+    joined = keyed.join(spans, [KEY, HASH], "left").select(ROW, SPANS)
     text_at, columns = docs.columns.index("text"), docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [substrings.cut_text(t, s) if s else t for t, s in zip(b.column(text_at).to_pylist(), b.column(len(columns)).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, b.schema.field(i).type) if i == text_at else b.column(i) for i in range(len(columns))], names=columns)
+            own = b.column(0).flatten()
+            texts = [substrings.cut_text(t, s) if s else t for t, s in zip(own[text_at].to_pylist(), b.column(1).to_pylist())]
+            own[text_at] = pa.array(texts, own[text_at].type)
+            yield pa.RecordBatch.from_arrays(own, names=columns)
 
     out = joined.mapInArrow(cut, docs.schema)
     if "n_chars" in columns:
@@ -61,5 +73,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of every document and their places in sequences."""
+    """The pieces of every document and their places in sequences.
+
+    Repeated rows are pieces of their own; pieces equal in length go by doc_id,
+    then by their number.  The columns of documents end here.
+    """
     return packing.pack(docs)

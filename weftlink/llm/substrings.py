@@ -1,11 +1,20 @@
-"""Substring dedup by joins of block and window hashes, in place of a relative Lempel-Ziv parse.
+"""Substring dedup by a greedy parse of every document against the documents before it.
 
 The reference of a document is every document with a smaller id.  Reference
 and document are cut alike, at anchors that the content itself sets (see
 ``rolling.blocks``), and every block of every document is indexed by anchor and
-content.  A block that the reference holds is a span as a whole.  Where a block
-with the same anchor differs in content, the block's windows are looked up one
-by one.  There is no running factor; spans are merged where they are cut out.
+content.  A block that the reference holds is a phrase as a whole.  Where a
+block with the same anchor differs in content, that is at the boundaries of
+what two documents share, its windows are looked up one by one and each found
+one is a phrase.
+
+The parse goes over a document's phrases from left to right: the running factor
+takes every phrase that begins no later than right behind its last window, so
+it grows over any number of blocks; it ends where neither a block nor a window
+across its end is in the reference.  Factors of at least a window are the
+duplicate spans (``rolling.factors``).  Phrases come from hash joins in place of
+a search for the longest match at each place, so one factor may run over
+phrases of several documents; the windows that it covers are the same.
 
 All groupings are sums, minima and joins on 128 bits of hash; no group of
 blocks is gathered in one place, so a passage may stand in any share of the
@@ -13,7 +22,8 @@ documents.  Every step's rows are at most the blocks of the input, or the
 windows of blocks that differ under one anchor.
 
 Null and empty texts, and texts shorter than a window, lose nothing.  Documents
-with the same id are not a reference for each other.
+with the same id are not a reference for each other.  Rows equal in id and text
+have the same spans.
 """
 
 from __future__ import annotations
@@ -122,7 +132,7 @@ def with_row_hash(docs: DataFrame) -> DataFrame:
 
 
 def duplicate_spans(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row_hash and spans, arrays of (low, high) in words, not merged; only documents that have some."""
+    """doc_id, row_hash and spans, the phrases as arrays of (low, high) in words; only documents that have some."""
     docs = common.base(df, id_col, text_col)
     blocks = common.saved(docs.mapInArrow(block_rows(word_units, window, anchor), BLOCKS), "blocks")
     # Anchors that two documents share; the rest is in no other document.
@@ -154,11 +164,11 @@ def parsed(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: st
     return with_row_hash(common.base(df, id_col, text_col)).join(spans, ["doc_id", "row_hash"], "left")
 
 
-def cut_text(text: str, spans: list[dict]) -> str:
-    """The text without the words in the spans; what stands between kept words stays."""
+def cut_text(text: str, spans: list[dict], window: int = WINDOW) -> str:
+    """The text without the words in the factors of the phrases; what stands between kept words stays."""
     raw = text.encode("utf-8", "surrogatepass")
     at = [m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
-    gone = rolling.covered(len(at), [(s["low"], s["high"]) for s in spans])
+    gone = rolling.covered(len(at), rolling.factors([(s["low"], s["high"]) for s in spans], window))
     edges = np.flatnonzero(np.diff(np.r_[0, gone.astype(np.int8), 0])).tolist()
     out, done = [], 0
     for low, high in zip(edges[::2], edges[1::2]):
@@ -168,12 +178,12 @@ def cut_text(text: str, spans: list[dict]) -> str:
     return b"".join(out).decode("utf-8", "surrogatepass")
 
 
-def kept_words(text: str, spans: list[dict] | None) -> tuple[list[bytes], int]:
-    """The words outside the spans, and the number of words inside."""
+def kept_words(text: str, spans: list[dict] | None, window: int = WINDOW) -> tuple[list[bytes], int]:
+    """The words outside the factors of the phrases, and the number of words inside."""
     words = text.encode("utf-8", "surrogatepass").split()
     if not spans:
         return words, 0
-    gone = rolling.covered(len(words), [(s["low"], s["high"]) for s in spans])
+    gone = rolling.covered(len(words), rolling.factors([(s["low"], s["high"]) for s in spans], window))
     return [w for w, g in zip(words, gone.tolist()) if not g], int(gone.sum())
 
 
@@ -185,7 +195,7 @@ def digests(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: s
         for b in batches:
             rows = []
             for doc, text, spans in zip(*(b.column(n).to_pylist() for n in ("doc_id", "text", "spans"))):
-                kept, gone = kept_words(text, spans)
+                kept, gone = kept_words(text, spans, window)
                 rows.append((doc, len(kept) + gone, gone, hashlib.sha256(b" ".join(kept)).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
