@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftlink.functions import fixed, text
 from weftlink.functions import similarity as S
-from weftlink.operators import blocking, diagnostics, metrics, model, sampling, scoring, tuning, validate
+from weftlink.operators import blocking, diagnostics, features, metrics, model, sampling, scoring, tuning, validate
 from weftlink.plans.normalise import normalised
 from weftlink.plans.presets import Channel
 from weftlink.plans.queries import (
@@ -311,3 +313,208 @@ def q_misaligned_rows(spark, sf):
     a = c.where("c_custkey % 50 <> 0").selectExpr("c_custkey AS row_idx", "'S1-' || c_custkey AS id")
     b = c.where("c_custkey % 70 <> 0").selectExpr("c_custkey AS row_idx", "'S1-' || (c_custkey + CASE WHEN c_custkey % 30 = 0 THEN 1 ELSE 0 END) AS id")
     return validate.misaligned(a, b, "id")
+
+
+# Scores and decisions, with a kernel that SQL has ---------------------------------------------
+
+_GRAMS = "list_distinct(list_transform(range(1, greatest(length(replace(cn, ' ', '')) - {0} + 2, 1)), lambda i: substr(replace(cn, ' ', ''), i, {0})))"
+_WIDE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fixed.EXPAND_WIDE.items())
+_SHOP_FIELDS = (
+    f"s AS (SELECT t.id, t.country, cn, ca, nt, ats, list_distinct(nums) AS dg, regexp_extract(ca, '^(\\d+)\\b', 1) AS st, coalesce(list_filter(nums, lambda d: length(d) IN (5, 6))[1], '') AS po, "
+    f"coalesce(CASE t.country WHEN 'US' THEN {_states(fixed.US_STATES, fixed.UNSURE_US, _TWO)} WHEN 'India' THEN {_states(fixed.INDIA_STATES, fixed.UNSURE_INDIA, _TWO)} END, '') AS state, "
+    f"(SELECT regexp_replace({_strip_sql('sn')}, '[^a-z0-9]', '', 'g') FROM (SELECT {_SPACED.format('e.name')} AS sn)) AS al, "
+    f"replace(regexp_extract(lower(e.name), '\\b([a-z0-9\\-]+)\\.(?:{fixed.DOMAINS})\\b', 1), '-', '') AS dom, "
+    f"list_filter(ats, lambda x: NOT list_contains({_list(_GENERIC)}, x) AND length(x) >= 3) AS spec, "
+    f"list_distinct(list_transform({_WORDS.format('ca')}, lambda x: CASE x {_WIDE} ELSE x END)) AS ex, {_GRAMS.format(3)} AS g3, {_GRAMS.format(4)} AS g4 FROM t JOIN e USING (id))"
+)
+_LEV = "CASE WHEN x.cn = y.cn THEN 1.0 WHEN x.cn = '' OR y.cn = '' THEN 0.0 ELSE greatest(0.0, 1.0 - levenshtein(left(x.cn, 100), left(y.cn, 100)) / greatest(length(left(x.cn, 100)), length(left(y.cn, 100)))) END"
+_BOTH = lambda a: f"(x.{a} <> '' AND x.{a} = y.{a})"
+_DIFFER = lambda a: f"(x.{a} <> '' AND y.{a} <> '' AND x.{a} <> y.{a})"
+_SHOP_PAIRS = (
+    f"{_N2}, {_post('name', 'nt')}, {_post('postal', '''[coalesce(list_filter(nums, lambda d: length(d) IN (5, 6))[1], '')]''', 30)}, {_SHOP_FIELDS}, c AS (SELECT s1, cid FROM c_name UNION SELECT s1, cid FROM c_postal), "
+    f"m AS (SELECT c.s1, c.cid, {_LEV} AS jw, {_JAC.format('x.nt', 'y.nt', '1.0')} AS nj, {_JAC.format('x.ats', 'y.ats', '1.0')} AS aj, {_JAC.format('x.ex', 'y.ex', '1.0')} AS ej, {_JAC.format('x.ex', 'y.ex', '0.0')} AS ej0, "
+    f"{_JAC.format('x.g4', 'y.g4', '1.0')} AS gj, {_JAC.format('x.g3', 'y.g3', '1.0')} AS tj, {_JAC.format('x.dg', 'y.dg', '1.0')} AS dj, "
+    "CASE WHEN len(x.nt) = 0 OR len(y.nt) = 0 THEN 0.0 ELSE len(list_intersect(x.nt, y.nt)) / least(len(x.nt), len(y.nt)) END AS ct, "
+    f"CASE WHEN {_DIFFER('st')} THEN 1.0 WHEN (x.st <> '' OR y.st <> '') AND x.st <> y.st THEN 0.2 ELSE 0.0 END AS cf, "
+    f"CASE WHEN {_DIFFER('po')} THEN -0.15 WHEN {_BOTH('po')} THEN 0.06 ELSE 0.0 END AS pt, "
+    f"{_DIFFER('st')} AS dst, {_DIFFER('po')} AS dpo, {_DIFFER('state')} AS dstate, {_BOTH('al')} AS same_al, length(x.al) AS l1, length(y.al) AS l2, (contains(x.al, y.al) OR contains(y.al, x.al)) AS within_al, x.al AS a1, y.al AS a2, x.dom AS d1, y.dom AS d2, "
+    "len(x.g4) > 0 AND len(y.g4) > 0 AS some4, len(list_intersect(x.dg, y.dg)) AS nd, len(x.dg) > 0 AND len(y.dg) > 0 AS known, x.ca <> '' AND y.ca <> '' AS both_ca, "
+    "len(list_intersect(x.spec, y.spec)) AS ns, len(x.spec) > 0 AND len(y.spec) > 0 AS both_spec, len(list_intersect(x.nt, y.nt)) AS common, CASE WHEN len(x.nt) > 0 AND len(y.nt) > 0 THEN least(len(x.nt), len(y.nt)) ELSE 0 END AS fewest, x.cn AS n1, y.cn AS n2 "
+    "FROM c JOIN s x ON x.id = c.s1 JOIN s y ON y.id = c.cid)"
+)
+
+
+def shop_pairs(spark, sf) -> DataFrame:
+    """Pairs of shops with a Levenshtein share in the place of Jaro-Winkler."""
+    r = normalised(shops(spark, sf), "plain")
+    p = blocking.joined(blocking.candidates(r, r, [NAME, Channel("postal", "postal", 30)]), r, r)
+    jw = S.levenshtein_share(*scoring.side("clean_name"), gap=None)
+    return p.withColumn("jw", jw).withColumn("jw_sorted", F.col("jw"))
+
+
+_L1 = "(0.5 * jw + 0.25 * nj + 0.25 * aj - 0.3 * cf)"
+
+
+def _l3(address: str, late: bool) -> str:
+    base = f"(0.5 * jw + 0.25 * nj + 0.25 * {address} - 0.3 * cf + pt)"
+    alt = f"(0.5 * jw + 0.15 * nj + 0.15 * {address} + 0.2 * gj - 0.3 * cf)"
+    base = f"(CASE WHEN {'some4 AND ' if late else ''}gj >= 0.5 AND jw >= 0.65 THEN greatest({base}, {alt}) ELSE {base} END)"
+    equal, boost = "(same_al AND l1 >= 4 AND cf < 1.0)", f"greatest({base}, 0.40 + 0.35 * jw + 0.25 * {address} - 0.2 * cf)"
+    if late:
+        base = f"(CASE WHEN {equal} THEN CASE WHEN {address} >= 0.08 OR nd > 0 OR NOT both_ca THEN {boost} ELSE least({base}, 0.65) END ELSE {base} END)"
+    else:
+        base = f"(CASE WHEN {equal} THEN {boost} ELSE {base} END)"
+        base = f"(CASE WHEN l1 >= 8 AND l2 >= 8 AND within_al AND cf < 1.0 THEN greatest({base}, 0.35 + 0.35 * jw + 0.20 * {address} + 0.10 * gj - 0.2 * cf) ELSE {base} END)"
+    return f"CASE WHEN dstate OR (dst AND dpo) THEN -1.0 ELSE {base} END"
+
+
+_PEN = "(CASE WHEN dst THEN 0.25 ELSE 0 END + CASE WHEN dstate THEN 0.35 ELSE 0 END)"
+_P9 = f"(CASE WHEN gj >= 0.5 AND jw >= 0.60 THEN greatest(0.45 * jw + 0.15 * nj + 0.10 * ct + 0.15 * aj + 0.10 * gj + 0.05 * dj - {_PEN}, 0.35 * jw + 0.10 * nj + 0.10 * ct + 0.15 * aj + 0.25 * gj + 0.05 * dj - {_PEN}) ELSE 0.45 * jw + 0.15 * nj + 0.10 * ct + 0.15 * aj + 0.10 * gj + 0.05 * dj - {_PEN} END)"
+_P9 = f"CASE WHEN ct >= 0.8 AND tj >= 0.4 THEN greatest({_P9}, 0.30 * jw + 0.15 * ct + 0.15 * tj + 0.20 * aj + 0.10 * gj + 0.10 * dj - {_PEN}) ELSE {_P9} END"
+_P9B = f"(CASE WHEN gj >= 0.5 AND jw >= 0.60 THEN greatest(0.50 * jw + 0.25 * nj + 0.25 * aj - {_PEN}, 0.40 * jw + 0.15 * nj + 0.15 * aj + 0.25 * gj + 0.05 * ct - {_PEN}) ELSE 0.50 * jw + 0.25 * nj + 0.25 * aj - {_PEN} END)"
+_P9B = f"CASE WHEN ct >= 0.8 AND jw >= 0.60 THEN greatest({_P9B}, 0.40 * jw + 0.20 * ct + 0.20 * aj + 0.15 * gj + 0.05 * nj - {_PEN}) ELSE {_P9B} END"
+_STEM = lambda d, a: f"({d} <> '' AND ({d} = {a} OR (length({d}) >= 8 AND {a} <> '' AND (contains({d}, {a}) OR contains({a}, {d})))))"
+_AGAINST = "(known AND nd = 0)"
+_SPEC = "(least(0.70, 0.35 * ns) + CASE WHEN nd > 0 THEN 0.25 ELSE 0 END)"
+_NM = "(CASE WHEN fewest >= 2 AND common >= fewest - 1 THEN greatest(jw, 0.90) ELSE jw END)"
+_AFF = f"CASE WHEN dstate OR ({_AGAINST} AND ns = 0) THEN 0.0 WHEN same_al THEN CASE WHEN {_AGAINST} THEN 0.85 ELSE 0.99 END WHEN {_STEM('d2', 'a1')} OR {_STEM('d1', 'a2')} THEN CASE WHEN {_AGAINST} THEN 0.80 ELSE 0.98 END WHEN NOT both_spec THEN CASE WHEN {_NM} >= 0.88 THEN {_NM} * 0.95 ELSE 0.0 END WHEN ns >= 1 OR nd > 0 THEN 0.5 * {_NM} + 0.5 * {_SPEC} WHEN {_NM} >= 0.94 THEN {_NM} * 0.85 ELSE 0.0 END"
+_KINDS = {
+    "l1": _L1, "l2": f"CASE WHEN gj >= 0.5 AND jw >= 0.65 THEN greatest({_L1}, 0.5 * jw + 0.15 * nj + 0.15 * aj + 0.2 * gj - 0.3 * cf) ELSE {_L1} END",
+    "l3_raw": _l3("aj", False), "l3": _l3("greatest(aj, ej)", False), "l4": _l3("ej0", True), "p9": _P9, "p9b": _P9B, "affinity": _AFF,
+}
+
+
+def _score(kind: str, sql: str) -> None:
+    def run(spark, sf):
+        return shop_pairs(spark, sf).select("s1", "cid", r6(scoring.match_score(kind) + 1e-9).alias("score"))
+
+    run.__name__ = f"q_score_{kind}"
+    query(f"WITH {_SHOP_PAIRS} SELECT s1, cid, round({sql} + 1e-9, 6) AS score FROM m")(run)
+
+
+for _kind, _sql in _KINDS.items():
+    _score(_kind, _sql)
+
+
+def _rules_sql(r: scoring.Rules) -> str:
+    free, backed, strong = f"(NOT {_AGAINST})", "(NOT both_spec OR ns >= 1 OR nd > 0)", "(ns >= 2 OR (ns >= 1 AND nd > 0))"
+    jw = "(CASE WHEN n1 <> '' AND n2 <> '' THEN jw ELSE 0 END)"
+    stem = lambda d, a: f"(length({d}) >= {r.stem} AND ({d} = {a} OR (length({d}) >= 8 AND (contains({d}, {a}) OR contains({a}, {d})))))"
+    equal = f"(same_al AND ({free}{' OR ns >= 1' if r.equal_backed else ''}))"
+    return (
+        f"(NOT dstate AND ({equal} OR ({free} AND ((l1 >= 8 AND l2 >= 8 AND abs(l1 - l2) <= {r.gap} AND within_al) OR {stem('d2', 'a1')} OR {stem('d1', 'a2')})) OR ({free} AND {jw} >= {r.high} AND ({backed} OR {jw} >= 0.98)) "
+        f"OR ({free} AND {jw} >= {r.contained} AND fewest >= 2 AND common >= fewest AND {backed}) OR ({free} AND {strong} AND ({jw} >= {r.address} OR common >= 1))))"
+    )
+
+
+_GUARD = "(both_ca AND aj <= 0.0 AND nd = 0)"
+_DECISIONS = {
+    **{f"rules_{k}": _rules_sql(v) for k, v in scoring.RULES.items()},
+    "guarded": _GUARD, "tiered": "(jw >= 0.82 OR (jw >= 0.54 AND aj >= 0.18))",
+    "hybrid": f"(NOT dstate AND NOT dst AND NOT {_GUARD} AND (jw >= 0.70 OR (jw >= 0.48 AND aj >= 0.16)))",
+}
+
+
+@query(f"WITH {_SHOP_PAIRS} SELECT s1, cid, " + ", ".join(f"{v} AS {k}" for k, v in _DECISIONS.items()) + ", round(CASE WHEN cf > 0.5 THEN greatest(0.0, jw - 0.35) ELSE jw END, 6) AS penalised FROM m")
+def q_match_decisions(spark, sf):
+    p = shop_pairs(spark, sf)
+    jw, address = F.col("jw"), S.jaccard(*scoring.side("addr_tokens"))
+    columns = {f"rules_{k}": scoring.boolean_rules(v) for k, v in scoring.RULES.items()}
+    columns |= {"guarded": scoring.address_guard(), "tiered": scoring.tiered(jw, address, 0.54, 0.82, 0.18), "hybrid": scoring.hybrid_decision(jw)}
+    out = [F.coalesce(v, F.lit(False)).alias(k) for k, v in columns.items()]
+    return p.select("s1", "cid", *out, r6(scoring.penalised(jw, S.conflict(*scoring.side("street")))).alias("penalised"))
+
+_DICE = "(CASE WHEN n1 = '' OR n2 = '' THEN 0.0 WHEN list_sort({0}) = list_sort({1}) THEN 1.0 ELSE 2.0 * len(list_intersect(list_distinct({0}), list_distinct({1}))) / (len(list_distinct({0})) + len(list_distinct({1}))) END)".format(_WORDS.format("n1"), _WORDS.format("n2"))
+_LIFT = "(CASE WHEN dc < 0.85 THEN CASE WHEN d1 <> '' AND d1 = d2 THEN greatest(dc, 0.95) WHEN (d1 <> '' AND contains(replace(n2, ' ', ''), d1)) OR (d2 <> '' AND contains(replace(n1, ' ', ''), d2)) THEN greatest(dc, 0.90) ELSE dc END ELSE dc END)"
+
+
+@query(f"WITH {_SHOP_PAIRS}, k AS (SELECT *, {_DICE} AS dc FROM m), l AS (SELECT *, {_LIFT} AS nm FROM k), z AS (SELECT *, 0.65 * nm + 0.35 * (CASE WHEN NOT known THEN 0.5 ELSE dj END) - (CASE WHEN known AND nd = 0 THEN 0.30 ELSE 0 END) AS sc FROM l) SELECT s1, cid, round(sc + 1e-9, 6) AS score, (nm >= 0.82 OR (nm >= 0.60 AND nd >= 1) OR (nm >= 0.40 AND nd >= 2) OR sc >= 0.68) AS accepted, round(least(0.99, greatest(0.05, 0.65 * least(1.0, dc + CASE WHEN d1 <> '' AND d1 = d2 THEN 0.35 ELSE 0 END) + 0.35 * (CASE WHEN NOT known THEN 0.5 WHEN nd > 0 THEN dj ELSE 0.1 END))) + 1e-9, 6) AS explorer FROM z")
+def q_score_champion(spark, sf):
+    p = shop_pairs(spark, sf)
+    return p.select("s1", "cid", r6(scoring.champion_parts()["score"] + 1e-9).alias("score"), scoring.champion_decision(0.68).alias("accepted"), r6(scoring.explorer_score() + 1e-9).alias("explorer"))
+
+
+_AGREE = lambda a, n: f"CASE WHEN x.{a} = '' AND y.{a} = '' THEN {n} WHEN x.{a} = '' OR y.{a} = '' THEN 0.5 WHEN x.{a} = y.{a} THEN 1.0 ELSE 0.0 END"
+_LAST = lambda v: f"({_WORDS.format(f'{v}.cn')})[-1]"
+_FLAGS = {
+    "postal": _AGREE("po", "1.0"), "street": _AGREE("st", "0.5"), "conflict": "CASE WHEN x.st <> '' AND y.st <> '' AND x.st <> y.st THEN 1.0 WHEN x.st <> y.st THEN 0.2 ELSE 0.0 END",
+    "prefix": "CASE WHEN least(length(x.cn), length(y.cn)) = 0 THEN 0.0 ELSE list_sum(list_transform(range(1, least(length(x.cn), length(y.cn), 4) + 1), lambda i: CASE WHEN substr(x.cn, i, 1) = substr(y.cn, i, 1) THEN 1.0 ELSE 0.0 END)) / least(length(x.cn), length(y.cn), 4) END",
+    "suffix": f"CASE WHEN {_LAST('x')} IS NULL OR {_LAST('y')} IS NULL THEN 0.5 WHEN {_LAST('x')} = {_LAST('y')} THEN 1.0 WHEN list_contains({_list(fixed.CORPORATE_WORDS)}, {_LAST('x')}) AND list_contains({_list(fixed.CORPORATE_WORDS)}, {_LAST('y')}) THEN 0.7 ELSE 0.0 END",
+    "long_token": "CASE WHEN len(list_filter(list_intersect(x.nt, y.nt), lambda w: length(w) > 3)) > 0 THEN 1.0 ELSE 0.0 END",
+    "cosine": "CASE WHEN len(x.nt) = 0 AND len(y.nt) = 0 THEN 1.0 WHEN len(x.nt) = 0 OR len(y.nt) = 0 THEN 0.0 ELSE len(list_intersect(x.nt, y.nt)) / sqrt(len(x.nt) * len(y.nt)) END",
+    "edit_short": "CASE WHEN x.cn = y.cn THEN 1.0 WHEN x.cn = '' OR y.cn = '' THEN 0.0 ELSE greatest(0.0, 1.0 - levenshtein(left(x.cn, 12), left(y.cn, 12)) / greatest(length(left(x.cn, 12)), length(left(y.cn, 12)))) END",
+}
+
+
+@query(f"WITH {_SHOP_PAIRS} SELECT c.s1, c.cid, " + ", ".join(f"round(CAST({v} AS DOUBLE), 6) AS {k}" for k, v in _FLAGS.items()) + " FROM c JOIN s x ON x.id = c.s1 JOIN s y ON y.id = c.cid")
+def q_pair_measures(spark, sf):
+    n, side = scoring.side("clean_name"), scoring.side
+    columns = {
+        "postal": S.agreement(*side("postal")), "street": S.agreement(*side("street"), neither=0.5), "conflict": S.conflict(*side("street")), "prefix": S.prefix_share(*n), "suffix": S.suffix_agreement(*n),
+        "long_token": S.shared_long_token(*side("name_tokens")), "cosine": S.set_cosine(*side("name_tokens")), "edit_short": S.levenshtein_share(*n, longest=12, gap=None),
+    }
+    return shop_pairs(spark, sf).select("s1", "cid", *(r6(v).alias(k) for k, v in columns.items()))
+
+
+def _phrases(c: str, phrases: dict[str, str], whole_words: bool) -> str:
+    """The replacements one after the other, longest first; those with edges twice, as RE2 has no look-around and a match takes its edges."""
+    for k in sorted(phrases, key=lambda k: -len(k)):
+        if whole_words:
+            c = f"regexp_replace({c}, '\\b{re.escape(k)}\\b', '{phrases[k]}', 'g')"
+        else:
+            for _ in range(2):
+                c = f"regexp_replace({c}, '(^|[^A-Za-z]){re.escape(k)}([^A-Za-z]|$)', '\\1{phrases[k]}\\2', 'g')"
+    return c
+
+
+_PUNCT = "'[^a-z0-9_\\s]'"
+_ANDED = "regexp_replace(lower({0}), '\\s*&\\s*', ' and ', 'g')"
+
+
+@query(f"WITH {_E2}, n AS (SELECT id, {_phrases(_ANDED.format('name'), fixed.NAME_PHRASES, True)} AS nm, regexp_replace({_phrases(_ANDED.format('addr'), fixed.ADDRESS_PHRASES, False)}, {_PUNCT}, ' ', 'g') AS ad FROM e) SELECT id, array_to_string(list_filter(list_transform({_WORDS.format('nm')}, lambda w: regexp_replace(w, {_PUNCT}, '', 'g')), lambda w: w <> ''), ' ') AS name, trim(regexp_replace(ad, '\\s+', ' ', 'g')) AS address FROM n")
+def q_contracted(spark, sf):
+    return shops(spark, sf).select(F.col("entity_id").alias("id"), text.contract_name("business_name").alias("name"), text.contract_address("business_address").alias("address"))
+
+
+_NOISE = fixed.LEGAL_WORDS.replace("(?U)", "")
+
+
+@query(f"WITH {_E2} SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(name), '{fixed.NOISE_PREFIX}', ''), '{_NOISE}', ' ', 'g'), {_PUNCT}, ' ', 'g'), '\\s+', ' ', 'g')) AS name FROM e")
+def q_noise_stripped(spark, sf):
+    return shops(spark, sf).select(F.col("entity_id").alias("id"), text.strip_noise("business_name").alias("name"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(replace(lower(strip_accents(text)), '&', ' and '), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS folded FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
+def q_normalize_folded(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.plain_folded("text").alias("folded"))
+
+# Feature vectors without their one kernel -----------------------------------------------------
+
+
+def _share(c: str) -> str:
+    return f"CASE WHEN x.{c} = y.{c} THEN 1.0 WHEN x.{c} = '' OR y.{c} = '' THEN 0.0 WHEN abs(length(x.{c}) - length(y.{c})) / greatest(length(x.{c}), length(y.{c})) > 0.4 THEN 0.0 ELSE greatest(0.0, 1.0 - levenshtein(left(x.{c}, 100), left(y.{c}, 100)) / greatest(length(left(x.{c}, 100)), length(left(y.{c}, 100)))) END"
+
+
+def _ratio(c: str) -> str:
+    return f"CASE WHEN x.{c} = '' OR y.{c} = '' THEN 0.0 ELSE least(length(x.{c}), length(y.{c})) / greatest(length(x.{c}), length(y.{c})) END"
+
+
+_IF = lambda c: f"CASE WHEN {c} THEN 1.0 ELSE 0.0 END"
+_SUFFIX = lambda v: f"regexp_extract({v}.cn, '(?:^| )({'|'.join(sorted(fixed.LEGAL_SUFFIXES, key=len, reverse=True))})$', 1)"
+_W1, _W2 = _WORDS.format("x.cn"), _WORDS.format("y.cn")
+_NJ, _EJ = _JAC.format("x.nt", "y.nt", "1.0"), _JAC.format("x.ex", "y.ex", "1.0")
+_FEATURES = [
+    _share("cn"), "0.0", _NJ, "CASE WHEN len(x.nt) = 0 OR len(y.nt) = 0 THEN 0.0 ELSE len(list_intersect(x.nt, y.nt)) / least(len(x.nt), len(y.nt)) END", _IF("x.cn <> '' AND x.cn = y.cn"),
+    _IF("length(x.cn) >= 4 AND length(y.cn) >= 4 AND left(x.cn, 4) = left(y.cn, 4)"), _IF("length(x.cn) >= 4 AND length(y.cn) >= 4 AND right(x.cn, 4) = right(y.cn, 4)"), _ratio("cn"), "1.0 / (1 + abs(len(x.nt) - len(y.nt)))",
+    _IF(f"{_SUFFIX('x')} <> '' AND {_SUFFIX('x')} = {_SUFFIX('y')}"), _IF("len(list_intersect(x.nt, y.nt)) > 0"), _EJ, _JAC.format("x.dg", "y.dg", "1.0"),
+    "CASE WHEN x.st <> '' AND y.st <> '' THEN CASE WHEN x.st = y.st THEN 1.0 ELSE 0.0 END ELSE 0.5 END", _AGREE("po", "0.5"), f"CASE WHEN x.ca <> '' AND y.ca <> '' AND len(list_intersect(x.ex, y.ex)) > 0 THEN {_share('ca')} ELSE 0.0 END",
+    _IF("x.ca <> '' AND y.ca <> ''"), _ratio("ca"), *(_IF(f"(CASE WHEN x.country <> '' THEN x.country ELSE y.country END) = '{c}'") for c in ("US", "India", "France")), *(_IF(f"y.id LIKE '{p}%'") for p in ("S2-", "S3-")),
+    f"({_NJ}) * ({_EJ})", f"CASE WHEN len({_W1}) > 0 AND len({_W2}) > 0 THEN least(len({_W1}), len({_W2})) ELSE 0 END", _IF(f"({_W1})[1] = ({_W2})[1]"), _IF(f"({_W1})[-1] = ({_W2})[-1]"),
+    "CASE WHEN x.st <> '' AND y.st <> '' THEN CASE WHEN x.st <> y.st THEN 1.0 ELSE 0.0 END WHEN x.st <> '' OR y.st <> '' THEN 0.2 ELSE 0.0 END",
+]
+
+
+@query(f"WITH {_SHOP_PAIRS} SELECT c.s1, c.cid, " + ", ".join(f"round(CAST({v} AS DOUBLE), 6) AS {n}" for v, n in zip(_FEATURES, features.NAMES)) + " FROM c JOIN s x ON x.id = c.s1 JOIN s y ON y.id = c.cid")
+def q_features_without_kernel(spark, sf):
+    columns = features.unified(kernels=False)
+    return shop_pairs(spark, sf).select("s1", "cid", *columns).select("s1", "cid", *(r6(n).alias(n) for n in features.NAMES))
