@@ -110,12 +110,76 @@ def core() -> list[Column]:
     return [v.cast("double").alias(n) for v, n in zip(values, NAMES)]
 
 
+def _values(columns: list[Column]) -> dict[str, Column]:
+    return dict(zip(NAMES, columns))
+
+
+def _named(values: dict[str, Column]) -> list[Column]:
+    return [values[n].cast("double").alias(n) for n in NAMES]
+
+
+def _first_n(a: Column, b: Column, cut) -> Column:
+    """Equal ends of four characters, shorter texts by what they have."""
+    return _flag((a != "") & (cut(a, F.lit(4)) == cut(b, F.lit(4))))
+
+
+def _shared(a: Column, b: Column, least: bool = False) -> Column:
+    """Overlap over the union (or the smaller set), two empty sets giving 0."""
+    size = F.least(F.size(a), F.size(b)) if least else F.size(F.array_union(a, b))
+    return S.overlap(a, b) / F.greatest(size, F.lit(1))
+
+
+def _spread(a: Column, b: Column) -> Column:
+    return F.abs(F.size(a) - F.size(b)) / F.greatest(F.size(a), F.size(b), F.lit(1))
+
+
+def validation() -> list[Column]:
+    """The vector of the validation suite: edit distances over 40 characters without a length limit, address words as they stand, the country of the reference record."""
+    (n1, n2), (a1, a2), address = side("clean_name"), side("clean_addr"), side("addr_tokens")
+    values, both = _values(unified()), (a1 != "") & (a2 != "")
+    addresses = S.jaccard(*address)
+    values |= {"f00": S.levenshtein_share(n1, n2, 40, None), "f11": addresses, "f15": F.when(both, S.levenshtein_share(a1, a2, 40, None)).otherwise(0.0), "f23": S.jaccard(*side("name_tokens")) * addresses}
+    values |= {n: _flag(F.col("l.country") == c) for n, c in (("f18", "US"), ("f19", "India"), ("f20", "France"))}
+    return _named(values)
+
+
+def optimisation() -> list[Column]:
+    """The vector of the optimisation suite: as validation(), but two empty sets share nothing, f08 is a difference, f10 stays 0, and one missing street number is no conflict."""
+    (n1, n2), (a1, a2), tokens, address = side("clean_name"), side("clean_addr"), side("name_tokens"), side("addr_tokens")
+    street, postal = side("street"), side("postal")
+    known = (street[0] != "") & (street[1] != "")
+    length = lambda a, b: F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b), F.lit(1))
+    values = _values(validation())
+    values |= {
+        "f02": _shared(*tokens), "f03": _shared(*tokens, least=True), "f05": _first_n(n1, n2, F.left), "f06": _first_n(n1, n2, F.right), "f07": length(n1, n2), "f08": _spread(*tokens), "f10": F.lit(0.0),
+        "f11": _shared(*address), "f12": _shared(*side("digits")), "f14": S.agreement(*postal, neither=0.5), "f15": S.levenshtein_share(a1, a2, 40, None), "f17": length(a1, a2),
+        "f23": _shared(*tokens) * _shared(*address), "f27": F.when(known, (street[0] != street[1]).cast("double")).otherwise(0.0),
+    }
+    return _named(values)
+
+
+def fast() -> list[Column]:
+    """The light vector of the full runner: both string features are Jaro-Winkler (of names, and jw_address of addresses), numbers by their overlap, eight features stay 0."""
+    n1, n2 = side("clean_name")
+    (d1, d2), tokens = side("digits"), side("name_tokens")
+    known, shared = (F.size(d1) > 0) & (F.size(d2) > 0), F.arrays_overlap(d1, d2)
+    numbers = F.when(known, _shared(d1, d2)).otherwise(0.5)
+    values = _values(optimisation()) | {n: F.lit(0.0) for n in ("f10", "f11", "f14", "f17", "f24", "f25", "f26")}
+    values |= {
+        "f00": F.col("jw"), "f09": _flag(S.same(*side("domain"))), "f12": numbers, "f13": F.when(known, shared.cast("double")).otherwise(0.5), "f15": F.col("jw_address"),
+        "f23": _shared(*tokens) * numbers, "f27": F.when(known, (~shared).cast("double")).otherwise(0.0),
+    }
+    return _named(values)
+
+
 def extract(pairs: DataFrame, kind: str = "unified", keep: list[str] | None = None) -> DataFrame:
     """(s1, cid, the kept columns, f00..f27); NaN counts as 0."""
     from weftlink.operators.scoring import with_kernels
 
-    p = with_kernels(pairs, None, "run")
-    columns = unified() if kind == "unified" else core()
+    p = with_kernels(pairs, None if kind in ("unified", "core") else 40, "run")
+    if kind == "fast":
+        p = p.withColumn("jw_address", udfs.jaro_winkler(*side("clean_addr"), 40, "run"))
+    columns = {"unified": unified, "core": core, "validation": validation, "optimisation": optimisation, "fast": fast}[kind]()
     return p.select("s1", "cid", *(keep or []), *columns).na.fill(0.0, NAMES)
 
 

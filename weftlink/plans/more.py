@@ -518,3 +518,39 @@ _FEATURES = [
 def q_features_without_kernel(spark, sf):
     columns = features.unified(kernels=False)
     return shop_pairs(spark, sf).select("s1", "cid", *columns).select("s1", "cid", *(r6(n).alias(n) for n in features.NAMES))
+
+
+def _edit(c: str) -> str:
+    return f"CASE WHEN x.{c} = y.{c} THEN 1.0 WHEN x.{c} = '' OR y.{c} = '' THEN 0.0 ELSE greatest(0.0, 1.0 - levenshtein(left(x.{c}, 40), left(y.{c}, 40)) / greatest(length(left(x.{c}, 40)), length(left(y.{c}, 40)))) END"
+
+
+_SH = lambda a, of="len(list_distinct(list_concat(x.{0}, y.{0})))": f"(len(list_intersect(x.{a}, y.{a})) / greatest({of.format(a)}, 1))"
+_LEN = lambda c: f"(least(length(x.{c}), length(y.{c})) / greatest(length(x.{c}), length(y.{c}), 1))"
+_AJ = _JAC.format("x.ats", "y.ats", "1.0")
+_VALIDATION = dict(zip(features.NAMES, _FEATURES)) | {
+    "f00": _edit("cn"), "f01": _LEV, "f11": _AJ, "f15": f"CASE WHEN x.ca <> '' AND y.ca <> '' THEN {_edit('ca')} ELSE 0.0 END", "f23": f"({_NJ}) * ({_AJ})", **{n: _IF(f"x.country = '{c}'") for n, c in (("f18", "US"), ("f19", "India"), ("f20", "France"))},
+}
+_OPTIMISATION = _VALIDATION | {
+    "f02": _SH("nt"), "f03": _SH("nt", "least(len(x.{0}), len(y.{0}))"), "f05": _IF("x.cn <> '' AND left(x.cn, 4) = left(y.cn, 4)"), "f06": _IF("x.cn <> '' AND right(x.cn, 4) = right(y.cn, 4)"), "f07": _LEN("cn"),
+    "f08": "abs(len(x.nt) - len(y.nt)) / greatest(len(x.nt), len(y.nt), 1)", "f10": "0.0", "f11": _SH("ats"), "f12": _SH("dg"), "f15": _edit("ca"), "f17": _LEN("ca"), "f23": f"{_SH('nt')} * {_SH('ats')}", "f27": _IF("x.st <> '' AND y.st <> '' AND x.st <> y.st"),
+}
+_NUMBERS = f"(CASE WHEN len(x.dg) > 0 AND len(y.dg) > 0 THEN {_SH('dg')} ELSE 0.5 END)"
+_FAST = _OPTIMISATION | {n: "0.0" for n in ("f10", "f11", "f14", "f17", "f24", "f25", "f26")} | {
+    "f00": _LEV, "f09": _IF("x.dom <> '' AND x.dom = y.dom"), "f12": _NUMBERS, "f13": "CASE WHEN len(x.dg) > 0 AND len(y.dg) > 0 THEN CASE WHEN len(list_intersect(x.dg, y.dg)) > 0 THEN 1.0 ELSE 0.0 END ELSE 0.5 END",
+    "f15": _edit("ca"), "f23": f"{_SH('nt')} * {_NUMBERS}", "f27": _IF("len(x.dg) > 0 AND len(y.dg) > 0 AND len(list_intersect(x.dg, y.dg)) = 0"),
+}
+
+
+def _variant(name: str, sql: dict[str, str]) -> None:
+    """A feature vector with edit shares in the place of its Jaro-Winkler columns."""
+
+    def run(spark, sf):
+        p = shop_pairs(spark, sf).withColumn("jw_address", S.levenshtein_share(*scoring.side("clean_addr"), longest=40, gap=None))
+        return p.select("s1", "cid", *getattr(features, name)()).select("s1", "cid", *(r6(n).alias(n) for n in features.NAMES))
+
+    run.__name__ = f"q_features_{name}"
+    query(f"WITH {_SHOP_PAIRS} SELECT c.s1, c.cid, " + ", ".join(f"round(CAST({sql[n]} AS DOUBLE), 6) AS {n}" for n in features.NAMES) + " FROM c JOIN s x ON x.id = c.s1 JOIN s y ON y.id = c.cid")(run)
+
+
+for _name, _sql in (("validation", _VALIDATION), ("optimisation", _OPTIMISATION), ("fast", _FAST)):
+    _variant(_name, _sql)
