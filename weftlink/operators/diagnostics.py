@@ -10,21 +10,25 @@ from pyspark.sql import functions as F
 from weftlink.functions import similarity as S
 from weftlink.operators.metrics import hits, k_sweep, true_counts, true_total
 from weftlink.operators.scoring import side
+from weftlink.sources.readers import id_list
 
 
 def failure_stages(truth: DataFrame, blocked: DataFrame, ranked: DataFrame, scored: DataFrame, accepted: DataFrame, tau: float) -> DataFrame:
     """(stage, n, share) of true pairs by the first stage that lost them.
 
     blocked, ranked, scored and accepted are (s1, cid) tables of later and later
-    stages; scored has score (-1: rejected outright).
+    stages; scored has score (under 0: rejected outright), or reject, the
+    reason of an outright rejection (null: none).
     """
     key = ["s1", "cid"]
     flag = lambda df, name: df.select(*key).distinct().withColumn(name, F.lit(True))
     every = flag(blocked, "blocked").join(flag(accepted, "accepted"), key, "full")
-    t = hits(every, truth).where("hit = 1").join(flag(ranked, "kept"), key, "left").join(scored.select(*key, "score").dropDuplicates(key), key, "left")
+    t = hits(every, truth).where("hit = 1").join(flag(ranked, "kept"), key, "left").join(scored.groupBy(*key).agg(F.max("score").alias("score"), (F.min("reject") if "reject" in scored.columns else F.lit(None).cast("string")).alias("reject")), key, "left")
+    told = "reject" in scored.columns
+    refused, rejected = (F.col("reject").isNotNull(), F.concat(F.col("reject"), F.lit(" reject"))) if told else (F.col("score") < 0, F.lit("hard reject"))
     stage = (
         F.when(F.col("accepted"), "accepted").when(F.col("blocked").isNull(), "not blocked").when(F.col("kept").isNull(), "pruned")
-        .when(F.col("score") < 0, "hard reject").when(F.col("score") < tau, "below threshold").otherwise("address floor")
+        .when(refused, rejected).when(F.col("score") < tau, "below threshold").otherwise("address floor")
     )
     n = t.groupBy(stage.alias("stage")).agg(F.count(F.lit(1)).alias("n"))
     # True pairs that no stage has seen are counted, not listed.
@@ -45,10 +49,47 @@ def error_kinds(wrong: DataFrame) -> DataFrame:
     return wrong.withColumn("kind", kind)
 
 
-def singleton_errors(accepted: DataFrame, truth: DataFrame) -> DataFrame:
-    """(s1, cid, score): the best accepted pair of entities that have no match."""
+def singleton_errors(accepted: DataFrame, truth: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(s1, cid, score): the best accepted pair of entities that have no match; with names (id, clean_name) also error, whether the names are the same."""
     lone = accepted.join(true_counts(truth).select("s1"), "s1", "left_anti")
-    return lone.groupBy("s1").agg(F.max(F.struct("score", "cid")).alias("b")).select("s1", "b.cid", "b.score")
+    best = lone.groupBy("s1").agg(F.max(F.struct("score", "cid")).alias("b")).select("s1", "b.cid", "b.score")
+    if names is None:
+        return best
+    of = lambda side: names.select(F.col("id").alias(side), F.col("clean_name").alias(f"_{side}"))
+    error = F.when(F.col("_s1") == F.col("_cid"), "same name, other address").otherwise("similar name")
+    return best.join(of("s1"), "s1").join(of("cid"), "cid").select("s1", "cid", "score", error.alias("error"))
+
+
+def error_counts(scored: DataFrame, truth: DataFrame, tau: float = 0.56) -> DataFrame:
+    """One row of six counts over candidate pairs with l, r, jw, address and score.
+
+    False pairs of entities without a match; entities that miss a match in the
+    end; entities that miss one among the candidates already; and false pairs
+    by kind: equal names at other places, similar names, and another name at
+    the same street number.
+    """
+    known = hits(scored.select("s1", "cid", "score", "jw", "address", S.same(*side("street")).alias("number")), truth)
+    good = F.col("score") >= tau
+    per = known.groupBy("s1").agg(F.count("hit").alias("found"), F.count_if(good & F.col("hit").isNotNull()).alias("tp"))
+    true = true_counts(truth)
+    missed = true.join(per, "s1", "left").na.fill(0, ["found", "tp"]).agg(F.count_if(F.col("tp") < F.col("n_true")).alias("missed_entities"), F.count_if(F.col("found") < F.col("n_true")).alias("missed_at_retrieval"))
+    false = known.where(good & F.col("hit").isNull()).join(true, "s1", "left")
+    elsewhere, alike = (F.col("jw") >= 0.90) & (F.col("address") < 0.20), F.col("jw") >= 0.85
+    kinds = false.agg(
+        F.count_if(F.col("n_true").isNull()).alias("singleton_merges"), F.count_if(elsewhere).alias("same_name_elsewhere"), F.count_if(~elsewhere & alike).alias("similar_name"),
+        F.count_if(~elsewhere & ~alike & F.col("number") & (F.col("jw") < 0.60)).alias("same_number"),
+    )
+    return kinds.crossJoin(F.broadcast(missed))
+
+
+def truth_profile(lists: DataFrame, entities: int, list_col: str = "matched_entity_ids") -> DataFrame:
+    """One row on a file of id lists: rows, entities with matches, without, absent from the file, the most matches and the mentions of either source."""
+    ids = id_list(list_col)
+    n = F.size(ids)
+    of = lambda prefix: F.coalesce(F.sum(F.size(F.filter(ids, lambda x: x.startswith(prefix)))), F.lit(0))
+    found = lists.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(n > 0).alias("with_matches"), F.count_if(n == 0).alias("empty"), F.coalesce(F.max(n), F.lit(0)).alias("most"), of("S2-").alias("s2_mentions"), of("S3-").alias("s3_mentions"))
+    absent = F.greatest(F.lit(0), F.lit(entities) - F.col("n_rows"))
+    return found.select("*", absent.cast("long").alias("absent"), (100.0 * (F.col("empty") + absent) / max(entities, 1)).alias("singleton_percent"))
 
 
 def wrong_pairs(accepted: DataFrame, truth: DataFrame, blocked: DataFrame | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from weftlink.operators import blocking, diagnostics, features, metrics, model,
 from weftlink.plans.normalise import normalised
 from weftlink.plans.presets import Channel
 from weftlink.plans.queries import (
-    _CURVE, _E2, _FIGURES, _JAC, _N, _N2, _NAME, _PLAIN, _SCORED, _SHOP_LISTS, _SPACED, _TRUTH, _WORDS,
+    _CURVE, _E2, _FIGURES, _JAC, _N, _N2, _NAME, _PLAIN, _SCORED, _SHOP_ID, _SHOP_LISTS, _SPACED, _TRUTH, _WORDS,
     NAME, _post, _prelim, _strip_sql, accepted, pairs, query, r6, records, scored, shops, spine, table, truth,
 )
 from weftlink.sources import readers, scratch, writers
@@ -554,3 +554,51 @@ def _variant(name: str, sql: dict[str, str]) -> None:
 
 for _name, _sql in (("validation", _VALIDATION), ("optimisation", _OPTIMISATION), ("fast", _FAST)):
     _variant(_name, _sql)
+
+
+# Errors by kind ----------------------------------------------------------------------------------
+
+
+def shop_truth(spark, sf) -> DataFrame:
+    """(id, class): shops of one nation at one street number."""
+    return table(spark, sf, "customer").selectExpr(f"{_SHOP_ID} AS id", "CASE WHEN c_custkey % 5 <> 0 THEN c_nationkey || '-' || c_custkey % 97 END AS class")
+
+
+_SHOP_TRUTH = f"tc AS (SELECT {_SHOP_ID} AS id, CASE WHEN c_custkey % 5 <> 0 THEN c_nationkey || '-' || c_custkey % 97 END AS class FROM customer), truth AS (SELECT a.id AS s1, b.id AS cid FROM tc a JOIN tc b ON a.class = b.class AND a.id <> b.id), tn AS (SELECT s1, count(*) AS n_true FROM truth GROUP BY s1)"
+_SHOP_SCORED = f"{_SHOP_PAIRS}, {_SHOP_TRUTH}, sc AS (SELECT m.*, round({_L1} + 1e-9, 6) AS score, s1s.st <> '' AND s1s.st = cs.st AS number FROM m JOIN s s1s ON s1s.id = m.s1 JOIN s cs ON cs.id = m.cid), h AS (SELECT sc.*, t.cid IS NOT NULL AS hit FROM sc LEFT JOIN truth t ON t.s1 = sc.s1 AND t.cid = sc.cid)"
+
+
+def shop_scored(spark, sf) -> DataFrame:
+    p = shop_pairs(spark, sf).withColumn("address", scoring.address_similarity("raw"))
+    return p.withColumn("score", r6(scoring.match_score("l1") + 1e-9))
+
+
+@query(f"WITH {_SHOP_SCORED}, f AS (SELECT h.*, n_true FROM h LEFT JOIN tn USING (s1) WHERE score >= 0.56 AND NOT hit), per AS (SELECT s1, count(*) FILTER (hit) AS found, count(*) FILTER (hit AND score >= 0.56) AS tp FROM h GROUP BY s1), ms AS (SELECT count(*) FILTER (coalesce(tp, 0) < n_true) AS missed_entities, count(*) FILTER (coalesce(found, 0) < n_true) AS missed_at_retrieval FROM tn LEFT JOIN per USING (s1)) SELECT (SELECT count(*) FROM f WHERE n_true IS NULL) AS singleton_merges, (SELECT count(*) FROM f WHERE jw >= 0.90 AND aj < 0.20) AS same_name_elsewhere, (SELECT count(*) FROM f WHERE NOT (jw >= 0.90 AND aj < 0.20) AND jw >= 0.85) AS similar_name, (SELECT count(*) FROM f WHERE jw < 0.60 AND number) AS same_number, missed_entities, missed_at_retrieval FROM ms")
+def q_error_counts(spark, sf):
+    return diagnostics.error_counts(shop_scored(spark, sf), shop_truth(spark, sf))
+
+
+@query(f"WITH {_SHOP_SCORED}, f AS (SELECT s1, cid, score, n1 = n2 AS same, row_number() OVER (PARTITION BY s1 ORDER BY score DESC, cid DESC) AS rn FROM h WHERE score >= 0.56 AND s1 NOT IN (SELECT s1 FROM tn)) SELECT s1, cid, score, CASE WHEN same THEN 'same name, other address' ELSE 'similar name' END AS error FROM f WHERE rn = 1")
+def q_singleton_error_types(spark, sf):
+    good = shop_scored(spark, sf).where("score >= 0.56").select("s1", "cid", "score")
+    return diagnostics.singleton_errors(good, shop_truth(spark, sf), normalised(shops(spark, sf), "plain").select("id", "clean_name"))
+
+
+@query(f"WITH {_SHOP_SCORED}, r AS (SELECT h.*, row_number() OVER (PARTITION BY s1 ORDER BY score DESC, cid) AS rn, CASE WHEN dstate THEN 'state' WHEN dst AND dpo THEN 'street and postal' END AS reject FROM h), z AS (SELECT CASE WHEN rn > 20 THEN 'pruned' WHEN reject IS NOT NULL THEN reject || ' reject' WHEN score >= 0.56 AND aj >= 0.3 THEN 'accepted' WHEN score < 0.56 THEN 'below threshold' ELSE 'address floor' END AS stage FROM r WHERE hit), g AS (SELECT stage, count(*) AS n FROM z GROUP BY stage UNION ALL SELECT 'not blocked', (SELECT count(*) FROM truth) - (SELECT count(*) FROM z)) SELECT stage, n, round(n / (SELECT count(*) FROM truth), 6) AS share FROM g WHERE n > 0")
+def q_error_stages_by_reject(spark, sf):
+    side = scoring.side
+    reject = F.when(S.differ(*side("state")), "state").when(S.differ(*side("street")) & S.differ(*side("postal")), "street and postal")
+    p = shop_scored(spark, sf).select("s1", "cid", "address", "score", reject.alias("reject"))
+    kept = blocking.ranked(p, 20, "score")
+    marked = p.withColumn("score", F.when(F.col("reject").isNotNull(), -1.0).otherwise(F.col("score")))
+    good = kept.where("reject is null and score >= 0.56 and address >= 0.3")
+    out = diagnostics.failure_stages(shop_truth(spark, sf), p, kept, marked, good, 0.56)
+    return out.select("stage", "n", r6("share").alias("share"))
+
+
+@query(f"WITH l AS (SELECT list_filter(list_transform(string_split(matched_entity_ids, ','), lambda x: trim(x)), lambda x: x <> '') AS ids FROM ({_SHOP_LISTS}) WHERE source1_entity_id NOT LIKE '%7') SELECT count(*) AS n_rows, count(*) FILTER (len(ids) > 0) AS with_matches, count(*) FILTER (len(ids) = 0) AS empty, CAST(max(len(ids)) AS INTEGER) AS most, CAST(sum(len(list_filter(ids, lambda x: x LIKE 'S2-%'))) AS BIGINT) AS s2_mentions, CAST(sum(len(list_filter(ids, lambda x: x LIKE 'S3-%'))) AS BIGINT) AS s3_mentions, (SELECT count(*) FROM customer) - count(*) AS absent, round(100.0 * (count(*) FILTER (len(ids) = 0) + (SELECT count(*) FROM customer) - count(*)) / (SELECT count(*) FROM customer), 6) AS singleton_percent FROM l")
+def q_truth_profile(spark, sf):
+    c = table(spark, sf, "customer")
+    lists = spark.sql(_SHOP_LISTS.replace("FROM customer", "FROM {c}"), c=c).where("source1_entity_id NOT LIKE '%7'")
+    out = diagnostics.truth_profile(lists, c.count())
+    return out.withColumn("singleton_percent", r6("singleton_percent"))
