@@ -55,7 +55,7 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def blocks(units: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: (anchor hash, content hash, first window, number of windows, hashes of all windows).
+    """Runs of windows with one anchor: (anchor hash, content hash, first window, number of windows, place of the anchor).
 
     A window's anchor is its least hash of ``anchor`` units, so equal windows
     have equal anchors at equal places, wherever they stand.  A block is a
@@ -65,13 +65,13 @@ def blocks(units: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.
     windows = spans(units, window)
     if not len(windows):
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none.astype(np.uint64), none, none, windows
+        return none.astype(np.uint64), none.astype(np.uint64), none, none, none
     grams = spans(units, anchor)
     at = least(grams, window - anchor + 1)
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     n = np.diff(np.r_[first, len(at)])
     content = join(join(windows[first], windows[first + n - 1]), n.astype(np.uint64))
-    return grams[at[first]], content, first, n, windows
+    return grams[at[first]], content, first, n, at[first]
 
 
 def factors(phrases: list[tuple[int, int]], window: int) -> list[tuple[int, int]]:

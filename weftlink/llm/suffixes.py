@@ -69,8 +69,7 @@ def block_rows(window: int, anchor: int):
                     raw, row = text.encode("utf-8", "surrogatepass"), substrings.text_hash(text)
                     for low, high in rolling.segments(len(raw), window):
                         units = byte_units(raw[low:high])
-                        anchors, contents, first, n, _ = rolling.blocks(units, window, anchor)
-                        place = rolling.least(rolling.spans(units, anchor), window - anchor + 1)[first]
+                        anchors, contents, first, n, place = rolling.blocks(units, window, anchor)
                         sides = rolling.spans(units, half)
                         before, after = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
                         has = place - first >= half
