@@ -16,7 +16,6 @@ import os
 import re
 import tempfile
 import uuid
-from array import array
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
@@ -198,14 +197,8 @@ class UnitTable:
         return out
 
 
-_TABLES: dict[tuple, UnitTable] = {}
-
-
-#: The pre-tokenizers' chunks of ASCII text: units of ASCII are cut by these, so that the library sees each distinct chunk once.
-ASCII_CHUNKS = {
-    "byte_bpe_50k.json": (r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", False),
-    "word_bpe_49k.json": (r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", True),
-}
+#: The pre-tokenizer's chunks of ASCII text, and whether the text is lower-cased before.
+ASCII_CHUNKS = {"byte_bpe_50k.json": (r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", False)}
 
 
 def byte_of() -> dict[str, int]:
@@ -385,54 +378,6 @@ def text_encoder(path: str) -> Callable[[str], np.ndarray]:
     return _WHOLE[path]
 
 
-def library_table(path: str, width: int, spaced: bool) -> UnitTable:
-    """Units to ids of the given width (in the machine's order, little-endian wherever Spark runs), by the tokenizers library; one table for each worker process."""
-    key = (path, width, spaced)
-    if key not in _TABLES:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import json
-
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
-        tok.no_truncation()
-        tok.no_padding()
-        with open(path, encoding="utf-8") as f:
-            special = tuple(x["content"] for x in json.load(f)["added_tokens"])
-        kind = {2: "H", 4: "I"}[width]
-        pattern, lower = ASCII_CHUNKS.get(os.path.basename(path), (None, False))
-        cut = re.compile(pattern, re.ASCII).findall if pattern else None
-        chunks: dict[str, bytes] = {}
-
-        def library(units: list[str]) -> list[bytes]:
-            return [array(kind, e.ids).tobytes() for e in tok.encode_batch_fast(units, add_special_tokens=False)]
-
-        table, fast = same_merges(path) if cut else None, None
-        if table:
-            import tiktoken
-
-            fast = tiktoken.Encoding("chunks", pat_str=r"(?s).+", mergeable_ranks=table, special_tokens={}).encode_ordinary
-
-        def encode(units: list[str]) -> list[bytes]:
-            if cut is None:
-                return library(units)
-            split = [cut(u.lower() if lower else u) if u.isascii() else (u,) for u in units]
-            if len(chunks) > TABLE_SIZE:
-                chunks.clear()
-            new = set(chain.from_iterable(split)) - chunks.keys()
-            if fast:
-                chunks.update((c, array(kind, fast(c)).tobytes()) for c in new if c.isascii())
-                new = {c for c in new if not c.isascii()}
-            if new:
-                rest = list(new)
-                chunks.update(zip(rest, library(rest)))
-            get = chunks.__getitem__
-            return [b"".join(map(get, c)) for c in split]
-
-        _TABLES[key] = UnitTable(encode, lambda t: library([t])[0], spaced, special)
-    return _TABLES[key]
-
-
 def crc32_of(col: Column) -> Column:
     """Unsigned crc32 of a string's UTF-8 bytes (null: of nothing)."""
     return F.crc32(F.encode(F.coalesce(col, F.lit("")), "UTF-8"))
