@@ -13,8 +13,8 @@ from weftlink.operators import blocking, diagnostics, features, metrics, model,
 from weftlink.plans.normalise import normalised
 from weftlink.plans.presets import Channel
 from weftlink.plans.queries import (
-    _CURVE, _E2, _FIGURES, _JAC, _N, _N2, _NAME, _PLAIN, _SCORED, _SHOP_ID, _SHOP_LISTS, _SPACED, _TRUTH, _WORDS,
-    NAME, _post, _prelim, _strip_sql, accepted, pairs, query, r6, records, scored, shops, spine, table, truth,
+    _CURVE, _E2, _FIGURES, _JAC, _N, _N2, _NAME, _SCORED, _SHOP_ID, _SHOP_LISTS, _SPACED, _TRUTH, _WORDS,
+    NAME, _post, _prelim, _strip_sql, accepted, query, r6, records, scored, shops, spine, table, truth,
 )
 from weftlink.sources import readers, scratch, writers
 
