@@ -63,6 +63,28 @@ def test_pivot_and_blocks_pass_documents_over():
     assert weights[n == 512].sum() * shard.most.max() < floor
 
 
+def test_shards_joined_and_common_lists_as_a_matrix():
+    """Several shards searched as one, with their common lists multiplied, give what one shard's lists give."""
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(300)]
+    docs = [(i, search.terms(" ".join(r.choices(words, [1 / (j + 1) for j in range(300)], k=r.randint(0, 40))))) for i in range(500)]
+    one = search.Shard.build(docs)
+    parts = [search.Shard.from_bytes(search.Shard.build(docs[a : a + 70]).to_bytes()) for a in range(0, 500, 70)]
+    many = search.Shard.joined(parts)
+    assert all((getattr(one, n) == getattr(many, n)).all() for n, _ in search.Shard.FIELDS)
+    one.prepare(20.0, 16)
+    many.prepare(20.0, 16, 8)
+    assert (many.slot >= 0).any() and (many.row >= 0).any()
+    for _, words in docs[::25]:
+        query = np.unique(words)
+        weights = search.idf(500, np.diff(one.at)[one.place(query)[1]])
+        floor = -math.inf
+        for _ in range(2):
+            want, got = (search.best(*s.search(query, weights, floor, 10), 10) for s in (one, many))
+            assert (want[0] == got[0]).all() and np.allclose(want[1], got[1], atol=1e-9)
+            floor = float(got[1][-1]) if len(got[1]) == 10 else floor
+
+
 def test_every_query_row_is_answered(spark):
     rows = [(1, "a b", ""), (2, "a c", ""), (None, "a x", ""), (2, "a c", "")]
     queries = [(7, "a"), (7, "x"), (7, "x"), (None, "c"), (9, None)]

@@ -15,7 +15,10 @@ enter and cursors stop only at documents of the lists from the pivot on.
 These are scored on the latter; where that and the block maxima of the lists
 before the pivot stay under the threshold, the block is passed over, and the
 lists before the pivot are read in the other blocks alone.  All cursors of a
-shard move at once, as arrays.
+shard move at once, as arrays.  A task searches ``JOINED`` stored shards as one,
+and the lists that hold a ``DENSE``-th of its documents or more are a matrix,
+multiplied for ``ASKED`` queries at once: with their exact sums known, the pivot
+and the blocks are chosen among the other lists.
 
 Queries come in batches of at most ``BATCH`` bytes (and one query more), two
 passes over the shards for each, so what is sent to the tasks is bounded.  A
@@ -32,9 +35,12 @@ table, of documents or of queries, gives no rows.
 
 from __future__ import annotations
 
+import ctypes
 import math
 import struct
 from collections.abc import Iterator
+from contextlib import contextmanager
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +53,9 @@ K1, B = 1.2, 0.75
 TOP = 10
 SHARD, BLOCK = 4096, 64
 BATCH = 32 << 20
+JOINED, DENSE, ASKED = 4, 8, 64
+#: Bytes of the matrix at most; the longest lists go first.
+MATRIX = 32 << 20
 #: Sums of floats in another order come this close to a bound before it counts as passed.
 SLACK = 1e-9
 
@@ -99,6 +108,25 @@ class Shard:
             at += size
         return cls(**out)
 
+    @classmethod
+    def joined(cls, shards: list[Shard]) -> Shard:
+        """The shards as one, the documents of each after those of the shards before."""
+        if len(shards) == 1:
+            return shards[0]
+        words = np.unique(np.concatenate([s.terms for s in shards]))
+        places, sizes = [np.searchsorted(words, s.terms) for s in shards], [np.diff(s.at).astype(np.int64) for s in shards]
+        n = np.zeros(len(words), np.int64)
+        for p, own in zip(places, sizes):
+            n[p] += own
+        at = np.r_[0, np.cumsum(n)]
+        doc, tf, free, first = np.zeros(at[-1], np.int32), np.zeros(at[-1], np.int32), at[:-1].copy(), 0
+        for s, p, own in zip(shards, places, sizes):
+            to = spread(free[p], own)
+            doc[to], tf[to] = s.doc.astype(np.int32) + first, s.tf
+            free[p] += own
+            first += len(s.doc_ids)
+        return cls(doc_ids=np.concatenate([s.doc_ids for s in shards]), lengths=np.concatenate([s.lengths for s in shards]), terms=words, at=at, doc=doc, tf=tf)
+
     def place(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which terms of the query stand here, and where."""
         if not len(self.terms):
@@ -107,14 +135,23 @@ class Shard:
         has = self.terms[at] == query
         return has, at[has]
 
-    def prepare(self, mean: float, block: int = BLOCK) -> None:
-        """Impacts, given the mean length of all documents, the greatest of each list, and of each block of the long lists."""
+    def prepare(self, mean: float, block: int = BLOCK, dense: int | None = None) -> None:
+        """Impacts, given the mean length of all documents, the greatest of each list, and of each block of the long lists; with dense, the matrix of the longest."""
         norm = K1 * (1 - B + B * self.lengths / mean)
         self.impact = self.tf * (K1 + 1) / (self.tf + norm[self.doc])
         n = np.diff(self.at)
         self.most = np.maximum.reduceat(self.impact, self.at[:-1]) if len(n) else np.zeros(0)
         self.block = block
-        long = np.flatnonzero(n >= block)
+        self.slot = np.full(len(n), -1)
+        if dense:
+            rows = np.flatnonzero(n * dense >= len(self.doc_ids))
+            rows = rows[np.argsort(-n[rows], kind="stable")][: MATRIX // (8 * max(len(self.doc_ids), 1))]
+            self.slot[rows] = np.arange(len(rows))
+            self.matrix = np.zeros((len(rows), len(self.doc_ids)))
+            for i, t in enumerate(rows):
+                own = slice(self.at[t], self.at[t + 1])
+                self.matrix[i, self.doc[own]] = self.impact[own]
+        long = np.flatnonzero((n >= block) & (self.slot < 0))
         self.row = np.full(len(n), -1)
         self.row[long] = np.arange(len(long))
         self.blocks = -(-len(self.doc_ids) // block)
@@ -133,31 +170,56 @@ class Shard:
         p = spread(start, n)
         return np.bincount(self.doc[p], np.repeat(weight, n) * self.impact[p], minlength=len(self.doc_ids))
 
+    def score_lists(self, t: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """As score(), of whole lists: their slices are copied as they stand."""
+        if not len(t):
+            return np.zeros(len(self.doc_ids))
+        own = [slice(a, b) for a, b in zip(self.at[t].tolist(), self.at[t + 1].tolist())]
+        points = np.concatenate([self.impact[x] for x in own]) * np.repeat(weight, self.at[t + 1] - self.at[t])
+        return np.bincount(np.concatenate([self.doc[x] for x in own]), points, minlength=len(self.doc_ids))
+
+    def dense(self, asked: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The scores of all documents, a row for each query (its lists here, their weights), by the lists of the matrix alone."""
+        q = np.zeros((len(asked), len(self.matrix)))
+        for i, (t, w) in enumerate(asked):
+            s = self.slot[t]
+            q[i, s[s >= 0]] = w[s >= 0]
+        return q @ self.matrix
+
     def search(self, query: np.ndarray, weights: np.ndarray, floor: float, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(doc_ids, scores) of documents that may be among the k best, given that k score at least ``floor`` already."""
         has, t = self.place(query)
-        w = weights[has]
+        return self.search_lists(t, weights[has], self.dense([(t, weights[has])])[0] if (self.slot >= 0).any() else None, floor, k)
+
+    def search_lists(self, t: np.ndarray, w: np.ndarray, known: np.ndarray | None, floor: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """As search(), for lists and their weights; known: what the lists of the matrix give."""
+        if known is not None:
+            rest = self.slot[t] < 0
+            t, w = t[rest], w[rest]
         bound, row = w * self.most[t], self.row[t]
         floor -= SLACK
-        # Lists before the pivot, of the long ones: together they stay under the floor.
+        # Lists before the pivot, of the long ones: together they stay under the floor.  A document of the matrix is met in any case.
         order = np.flatnonzero(row >= 0)
         order = order[np.argsort(bound[order], kind="stable")]
         before = order[: np.searchsorted(np.cumsum(bound[order]), floor)]
         stop = np.ones(len(t), bool)
         stop[before] = False
-        start = self.at[t].astype(np.int64)
-        total = self.score(start[stop], self.at[t + 1][stop] - start[stop], w[stop])
+        total = self.score_lists(t[stop], w[stop])
+        if known is not None:
+            total += known
         if len(before):
             rest = w[before] @ self.block_most[row[before]]
-            found = np.flatnonzero(total)
-            found = found[total[found] + rest[found // self.block] >= floor]
-            live = np.unique(found // self.block)
-            cells = np.ix_(row[before], live)
-            n = self.block_n[cells].ravel()
-            total = total + self.score(self.block_at[cells].ravel(), n, np.repeat(w[before], len(live)))
+            open_ = (total > 0) & (total + np.repeat(rest, self.block)[: len(total)] >= floor)
+            live = np.flatnonzero(np.bitwise_or.reduceat(open_, np.arange(0, len(total), self.block)))
+            if 4 * len(live) > self.blocks:  # whole lists are read faster than many blocks
+                total += self.score_lists(t[before], w[before])
+            elif len(live):
+                cells = np.ix_(row[before], live)
+                n = self.block_n[cells].ravel()
+                total += self.score(self.block_at[cells].ravel(), n, np.repeat(w[before], len(live)))
+            found = np.flatnonzero(open_ & (total >= floor))
         else:
-            found = np.flatnonzero(total)
-        found = found[total[found] >= floor]
+            found = np.flatnonzero((total > 0) & (total >= floor))
         if len(found) > k:
             cut = np.partition(total[found], -k)[-k]
             found = found[total[found] >= cut - SLACK]  # ties stay: the doc_id decides later
@@ -169,6 +231,28 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return ids[order], scores[order]
 
 
+def one_thread() -> None:
+    """Threads of numpy's own BLAS spin between small products: a task keeps to its core."""
+    for path in (Path(np.__file__).parent.parent / "numpy.libs").glob("*openblas*"):
+        put = getattr(ctypes.CDLL(str(path)), "scipy_openblas_set_num_threads64_", None)
+        if put is not None:
+            put(1)
+
+
+@contextmanager
+def one_by_one(spark: SparkSession) -> Iterator[None]:
+    """Rows of megabytes are read and handed to Python one at a time while this holds."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = {n: spark.conf.get(n) for n in names}
+    for n in names:
+        spark.conf.set(n, "1")
+    try:
+        yield
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+
+
 def indexed(docs: DataFrame, size: int = SHARD) -> DataFrame:
     """The shards of (doc_id, text), saved, with their documents and words."""
     schema = pa.schema([("docs", pa.int64()), ("words", pa.int64()), ("shard", pa.binary())])
@@ -223,7 +307,10 @@ def search(df: DataFrame, queries: DataFrame, k: int = TOP, id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(df[own], pa.int64())], names=["term", "df"])
 
         # As many rows as the batch has terms.
-        rows = shards.select("shard").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+        with one_by_one(spark):
+            counted = common.saved(shards.select("shard").mapInArrow(count, "term long, df long"), "counted")
+        rows = counted.groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+        common.dropped(counted)
         out = np.zeros(len(wanted), np.int64)
         out[rows.column("term").to_numpy()] = rows.column("df").to_numpy()
         sent.unpersist()
@@ -237,24 +324,42 @@ def search(df: DataFrame, queries: DataFrame, k: int = TOP, id_col: str = "doc_i
         sent = spark.sparkContext.broadcast((np.array([r for r, _, _ in batch], np.int64), [w.tobytes() for w in words], wanted, weight))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            one_thread()
             rows, asked, wanted, weight = sent.value
             asked = [np.frombuffer(t, np.uint64) for t in asked]
-            weights = [weight[np.searchsorted(wanted, t)] for t in asked]
+            asked = [np.searchsorted(wanted, t) for t in asked]
             top: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(asked)
-            for b in batches:
-                for data in b.column("shard"):
-                    shard = Shard.from_bytes(data.as_py())
-                    shard.prepare(mean, block)
-                    for i, (t, w) in enumerate(zip(asked, weights)):
+            held: list[Shard] = []
+
+            def work() -> None:
+                shard = Shard.joined(held)
+                held.clear()
+                shard.prepare(mean, block, DENSE)
+                has, t = shard.place(wanted)
+                place = np.full(len(wanted), -1)
+                place[has] = t
+                for at in range(0, len(asked), ASKED):
+                    lists = [(place[a], weight[a]) for a in asked[at : at + ASKED]]
+                    lists = [(t[t >= 0], w[t >= 0]) for t, w in lists]
+                    for i, ((t, w), known) in enumerate(zip(lists, shard.dense(lists)), at):
                         ids, scores = top[i]
-                        more, points = shard.search(t, w, float(scores[-1]) if len(scores) >= k else -math.inf, k)
+                        more, points = shard.search_lists(t, w, known, float(scores[-1]) if len(scores) >= k else -math.inf, k)
                         if len(more):
                             top[i] = best(np.r_[ids, more], np.r_[scores, points], k)
+
+            for b in batches:
+                for data in b.column("shard"):
+                    held.append(Shard.from_bytes(data.as_py()))
+                    if len(held) == JOINED:
+                        work()
+            if held:
+                work()
             sizes = [len(x[0]) for x in top]
             cols = [np.repeat(rows, sizes), np.concatenate([x[0] for x in top] or [np.zeros(0, np.int64)]), np.concatenate([x[1] for x in top] or [np.zeros(0)])]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["row", "doc_id", "score"])
 
-        found = common.saved(shards.select("shard").mapInArrow(run, "row long, doc_id long, score double"), "found")
+        with one_by_one(spark):
+            found = common.saved(shards.select("shard").mapInArrow(run, "row long, doc_id long, score double"), "found")
         sent.unpersist()
         return found
 
