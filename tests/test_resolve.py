@@ -34,6 +34,20 @@ def test_ranking_keeps_at_most_k(tables):
     assert n and all(r["m"] <= 100 for r in n)
 
 
+def test_records_meet_in_cells(spark, monkeypatch):
+    """Lists opened where blocks and slices meet give what plain joins give, and pairs with records are not dealt out again."""
+    monkeypatch.setattr(blocking, "BLOCK_ROWS", 7)
+    rows = [(str(i), [None, [], [f"w{i}", "x"]][i % 3], i) for i in range(40)]
+    r = spark.createDataFrame(rows, "id string, words array<string>, n int")
+    pairs = spark.createDataFrame([(str(i), str(j), i * j) for i in range(40) for j in range(i % 5, 40, 3)], "s1 string, cid string, w int")
+    out = blocking.joined(pairs, r, r, ["id", "words"])
+    by = {i: w for i, w, _ in rows}
+    got = sorted((x["s1"], x["cid"], x["w"], str(x["l"]["words"]), str(x["r"]["words"])) for x in out.collect())
+    assert got == sorted((x["s1"], x["cid"], x["w"], str(by[x["s1"]]), str(by[x["cid"]])) for x in pairs.collect())
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan.split("ShuffledHashJoin")[1] and "cid" not in plan.split("ShuffledHashJoin")[1].split("hashpartitioning(")[1].split(")")[0]
+
+
 def test_caps(spark):
     rows = [(str(i), "US", ["hot", f"k{i % 3}"], i) for i in range(30)]
     df = spark.createDataFrame(rows, "id string, country string, keys array<string>, row_idx long")
