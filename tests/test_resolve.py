@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from weftlink.operators import blocking, features, metrics, sampling, tuning, validate
+from weftlink.operators import blocking, features, metrics, sampling, scoring, tuning, validate
 from weftlink.plans.normalise import normalised
 from weftlink.plans.presets import PRESETS, Channel
 from weftlink.plans.resolve import ranked_candidates, resolve
@@ -48,6 +48,34 @@ def test_records_meet_in_cells(spark, monkeypatch):
     assert "REPARTITION_BY_NUM" in plan.split("ShuffledHashJoin")[1] and "cid" not in plan.split("ShuffledHashJoin")[1].split("hashpartitioning(")[1].split(")")[0]
 
 
+def test_lists_hold_all_candidates(spark, monkeypatch):
+    """Lists and the pairs met from them are what the joins of postings give, whole or the first by id."""
+    monkeypatch.setattr(blocking, "SLIM_ROWS", 6)
+    rows = [(str(i), ["US", "India", "", "France"][i % 4], None if i == 9 else [f"w{i % 5}", f"v{i % 3}", "hot"][: i % 4], [f"v{i % 6}"], i) for i in range(60)]
+    r = spark.createDataFrame(rows, "id string, country string, words array<string>, more array<string>, n int")
+    channels = [Channel("rare", "words", 3, rare=9), Channel("words", "words", 12), Channel("less", "words", 4), Channel("more", "more")]
+    want = sorted((x["s1"], x["cid"]) for x in blocking.candidates(r, r, channels).collect())
+    other = r.select("*")
+    for right in (r, other):
+        for k in (None, 2):
+            each = blocking.lists(r, right, channels, k)
+            out = blocking.met(each, r, right, ["id", "words", "n"], {"twice": lambda x: x["words"]}, place=k is not None).collect()
+            first = [p for i, p in enumerate(want) if k is None or sum(q[0] == p[0] for q in want[:i]) < k]
+            assert sorted((x["s1"], x["cid"]) for x in out) == first
+            assert all(x["l"]["id"] == x["s1"] and x["r"]["id"] == x["cid"] and x["r"]["n"] == int(x["cid"]) for x in out)
+            assert all(len(set(x["l"]["words"] or []) & set(x["r"]["words"] or [])) == len(set(rows[int(x["s1"])][2] or []) & set(rows[int(x["cid"])][2] or [])) for x in out)
+    broken = spark.createDataFrame([("a\x01b", "US", ["x"]), ("c", "US", ["x"])], "id string, country string, words array<string>")
+    with pytest.raises(Exception, match="mark"):
+        blocking.lists(broken, broken, [Channel("words", "words")]).collect()
+
+
+@pytest.mark.parametrize("preset", ["phase8b", "phase10b", "strict", "phase9"])
+def test_overlaps_are_computed_once_for_a_pair(tables, preset):
+    plan = resolve(*tables, preset)._jdf.queryExecution().optimizedPlan().toString()
+    sets = [c for c in scoring.FIELDS[PRESETS[preset].score] if c in scoring.SETS]
+    assert plan.count("array_intersect") == len(sets)
+
+
 def test_caps(spark):
     rows = [(str(i), "US", ["hot", f"k{i % 3}"], i) for i in range(30)]
     df = spark.createDataFrame(rows, "id string, country string, keys array<string>, row_idx long")
