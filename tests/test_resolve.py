@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from weftlink.operators import blocking, features, metrics, sampling, scoring, tuning, validate
 from weftlink.plans.normalise import normalised
 from weftlink.plans.presets import PRESETS, Channel
+from weftlink.plans.queries import QUERIES
 from weftlink.plans.resolve import ranked_candidates, resolve
 from weftlink.sources import readers, writers
 from weftlink.streaming.incremental import resolve_stream
@@ -132,3 +133,15 @@ def test_stream_resolves_arriving_records(spark, tables, tmp_path):
     q.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert ("S1-1", "S3-1") in {(r["s1"], r["cid"]) for r in got.collect()}
+
+
+def test_block_domain_pairs_pieces_of_a_stem(spark, monkeypatch, tmp_path):
+    """Every two rows of a stem, repeated rows as often as in SQL."""
+    monkeypatch.setattr(blocking, "CHUNK", 3)
+    stems = ["shop", "market", "abc"]
+    rows = [(i % 15, f"https://{stems[i % 5 % 3]}.com/{i}") for i in range(20)] + [(30, None), (31, "no stem")]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    out = QUERIES["block_domain"](spark, str(tmp_path))
+    keyed = [(str(i), u.split("/")[2][:-4]) for i, u in rows if u and u.startswith("http")]
+    want = [(a, b) for a, k in keyed for b, m in keyed if k == m and a != b and len(k) >= 4]
+    assert sorted(map(tuple, out.collect())) == sorted(want) and len(want) > len(set(want))
