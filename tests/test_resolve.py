@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from weftlink.operators import blocking, features, metrics, sampling, scoring, tuning, validate
+from weftlink.operators import blocking, features, metrics, sampling, scoring, tuning, validate, wordsets
 from weftlink.plans.normalise import normalised
 from weftlink.plans.presets import PRESETS, Channel
 from weftlink.plans.queries import QUERIES
@@ -145,3 +145,18 @@ def test_block_domain_pairs_pieces_of_a_stem(spark, monkeypatch, tmp_path):
     keyed = [(str(i), u.split("/")[2][:-4]) for i, u in rows if u and u.startswith("http")]
     want = [(a, b) for a, k in keyed for b, m in keyed if k == m and a != b and len(k) >= 4]
     assert sorted(map(tuple, out.collect())) == sorted(want) and len(want) > len(set(want))
+
+
+def test_packed_sets_keep_their_overlaps(spark, monkeypatch):
+    """Words with and without a place, repeated ones, empty and missing sets."""
+    monkeypatch.setattr(wordsets, "PLACES", 4)
+    sets = [["a", "b", "c", "d", "e", "é"], ["e", "f", "a", "a"], [], None, ["f", "é", "d", "x"], ["x", "y"]]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "i int, s array<string>").coalesce(1)
+    words = wordsets.frequent(df, ["s"])
+    assert 0 < len(words) <= 4
+    got = {r["i"]: r["s"] for r in df.withColumn("p", wordsets.packed(F.col("s"), words)).select("i", wordsets.opened(F.col("p")).alias("s")).collect()}
+    assert got[3] is None and got[2] == []
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            if a is not None and b is not None:
+                assert len(got[i]) == len(a) and len(set(got[i]) & set(got[j])) == len(set(a) & set(b))
