@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftlink.operators import blocking, features, metrics, sampling, scoring, tuning, validate, wordsets
+from weftlink.plans import queries
 from weftlink.plans.normalise import normalised
 from weftlink.plans.presets import PRESETS, Channel
 from weftlink.plans.queries import QUERIES
@@ -160,3 +161,13 @@ def test_packed_sets_keep_their_overlaps(spark, monkeypatch):
         for j, b in enumerate(sets):
             if a is not None and b is not None:
                 assert len(got[i]) == len(a) and len(set(got[i]) & set(got[j])) == len(set(a) & set(b))
+
+
+def test_a_pair_and_its_reverse_meet_once(spark):
+    """Records are joined for one of the two only, and give both."""
+    rows = [(str(i), "US", ["x", f"w{i % 3}"], i) for i in range(12)]
+    out = queries.spread(spark.createDataFrame(rows, "id string, country string, name_tokens array<string>, n int"), ["id", "name_tokens", "n"], ("name_tokens",))
+    got = out.collect()
+    assert sorted((r["s1"], r["cid"]) for r in got) == sorted((a[0], b[0]) for a in rows for b in rows if a != b)
+    assert all(r["l"]["id"] == r["s1"] and r["r"]["n"] == int(r["cid"]) and r["l"]["name_tokens"] == rows[int(r["s1"])][2] for r in got)
+    assert all((a["s1"], a["cid"]) == (b["cid"], b["s1"]) for a, b in zip(got[::2], got[1::2]))
