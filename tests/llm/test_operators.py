@@ -175,6 +175,31 @@ def test_id_coder_round_trip_and_damage():
         tokenfile.documents_of([bytes(frame)])
 
 
+def test_blocks_of_a_set_share_what_they_learn():
+    r = np.random.default_rng(6)
+    # Any two ids tell the third, which no block of 64 sees twice.
+    after = r.integers(0, 40, (40, 40))
+    ids = [3, 4]
+    for _ in range(6000):
+        ids.append(int(after[ids[-2], ids[-1]]) if r.random() < 0.9 else int(r.integers(0, 40)))
+    docs = [[(i, np.array(ids[i * 700 : (i + 1) * 700], np.uint16))] for i in range(8)] + [[(8, np.array(ids, np.uint16)), (9, np.array([2], np.uint16))], [(10, np.array([49407], np.uint16))]]
+    # 6003 ids are 94 blocks, two of 48 for each of a set; frames of one set, several and a single id.
+    coded = tokenfile.frames(docs, 49408, 64, 48)
+    flat = lambda frames: [[(d, i.tolist()) for d, i in f] for f in frames]
+    assert flat(tokenfile.documents_of(coded)) == flat(docs)
+    assert [flat(tokenfile.documents_of([f]))[0] for f in reversed(coded)] == flat(docs)[::-1]  # each without the others
+    one = tokenfile.frames(docs[8:9], 49408, 64)[0]
+    assert flat(tokenfile.documents_of([one])) == flat(docs[8:9])
+    assert len(one) < 6003 * 5 // 8  # order 0 alone takes 5.3 bits an id
+    for at in (5, 30, 40, len(one) // 3, len(one) // 2):
+        broken = bytearray(one)
+        broken[at] ^= 16
+        with pytest.raises(tokenfile.Damaged):
+            tokenfile.documents_of([bytes(broken)])
+    with pytest.raises(tokenfile.Damaged):
+        tokenfile.documents_of([one[: len(one) // 2]])
+
+
 def test_token_file_reads_back(spark):
     rows = [*ODD, *((i + 10, t) for i, t in enumerate(texts(60, 6)))]
     got = tokenfile.read_back(tokenfile.written(spark.createDataFrame(rows, SCHEMA))).collect()

@@ -1,17 +1,18 @@
-"""Token ids in files of independently coded blocks.
+"""Token ids in files of independently coded frames.
 
 A file is a table of frames.  A frame holds whole documents (about
 ``FRAME`` ids; a longer document has one to itself) as bytes::
 
-    "WFT1" | vocabulary u32 | ids in a block u32 | documents u32 | blocks u32
+    "WFT2" | vocabulary u32 | ids in a block u32 | blocks in a set u32 | documents u32 | blocks u32
     doc_id i64 x documents | ids of the document u32 x documents
     crc32 of the block's ids (u32, ids as u32) x blocks | coded bytes u32 x blocks
+    crc32 of all this u32
     coded blocks (see idcoder)
 
-all little-endian.  Each block starts from a fresh model and can be read and
-checked without the others.  Frames are numbered by (part, start): parts are
-ranges of doc_id in ascending order, start counts the ids of the part before
-the frame.
+all little-endian.  Each set of blocks starts from a fresh model and can be
+read without the others; a block has its own checksum.  Frames are numbered by
+(part, start): parts are ranges of doc_id in ascending order, start counts the
+ids of the part before the frame.
 
 Ties of doc_id go by text.  A null or empty text has its end id only.  An empty
 table gives no frames.
@@ -36,34 +37,42 @@ END_ID = 2
 #: Ids after which a frame is closed, and ids that a task holds before it codes them.
 FRAME = 1 << 18
 GATHER = idcoder.TOGETHER * idcoder.BLOCK
-MAGIC = b"WFT1"
+MAGIC = b"WFT2"
+HEAD = struct.Struct("<5I")
 
 
-class Damaged(ValueError):
-    """A frame that is not what was written."""
+Damaged = idcoder.Damaged
 
 
-def frames(docs: list[list[tuple[int, np.ndarray]]], vocabulary: int, block: int = idcoder.BLOCK) -> list[bytes]:
+def sets_of(n_blocks: list[int], size: int) -> list[int]:
+    """The number of each block's set, given the number of blocks of each frame; no set goes over frames."""
+    out, first = [], 0
+    for n in n_blocks:
+        out += [first + i // size for i in range(n)]
+        first += -(-n // size)
+    return out
+
+
+def frames(docs: list[list[tuple[int, np.ndarray]]], vocabulary: int, block: int = idcoder.BLOCK, together: int = idcoder.SET) -> list[bytes]:
     """The bytes of each frame, given as (doc_id, ids) of its documents; all blocks are coded together."""
-    pieces, owner = [], []
-    for k, frame in enumerate(docs):
+    pieces = []
+    for frame in docs:
         ids = np.concatenate([i for _, i in frame])
-        for at in range(0, len(ids), block):
-            pieces.append(ids[at : at + block])
-            owner.append(k)
-    coded = idcoder.encode(pieces, vocabulary)
+        pieces.append([ids[at : at + block] for at in range(0, len(ids), block)])
+    counts = [len(p) for p in pieces]
+    coded = iter(idcoder.encode([x for p in pieces for x in p], vocabulary, sets_of(counts, together)))
     out = []
-    for k, frame in enumerate(docs):
-        own = [j for j, o in enumerate(owner) if o == k]
-        out.append(
+    for frame, own in zip(docs, pieces):
+        words = [next(coded) for _ in own]
+        head = (
             MAGIC
-            + struct.pack("<4I", vocabulary, block, len(frame), len(own))
+            + HEAD.pack(vocabulary, block, together, len(frame), len(own))
             + np.array([d for d, _ in frame], "<i8").tobytes()
             + np.array([len(i) for _, i in frame], "<u4").tobytes()
-            + np.array([idcoder.checksum(pieces[j]) for j in own], "<u4").tobytes()
-            + np.array([len(coded[j]) for j in own], "<u4").tobytes()
-            + b"".join(coded[j] for j in own)
+            + np.array([idcoder.checksum(x) for x in own], "<u4").tobytes()
+            + np.array([len(w) for w in words], "<u4").tobytes()
         )
+        out.append(head + struct.pack("<I", zlib.crc32(head)) + b"".join(words))
     return out
 
 
@@ -71,30 +80,33 @@ def documents_of(data: list[bytes]) -> list[list[tuple[int, np.ndarray]]]:
     """The (doc_id, ids) of each frame; all blocks are decoded together."""
     heads, blocks, sums = [], [], []
     for f in data:
-        if f[:4] != MAGIC:
+        if f[:4] != MAGIC or len(f) < 4 + HEAD.size:
             raise Damaged("not a frame")
-        vocabulary, block, n_docs, n_blocks = struct.unpack("<4I", f[4:20])
-        at = 20
+        vocabulary, block, together, n_docs, n_blocks = HEAD.unpack_from(f, 4)
+        at = 4 + HEAD.size
+        end = at + 12 * n_docs + 8 * n_blocks
+        if f[end : end + 4] != struct.pack("<I", zlib.crc32(f[:end])):
+            raise Damaged("a frame's head differs from its checksum")
         doc_ids = np.frombuffer(f, "<i8", n_docs, at)
         sizes = np.frombuffer(f, "<u4", n_docs, at + 8 * n_docs)
-        at += 12 * n_docs
-        checks = np.frombuffer(f, "<u4", n_blocks, at)
-        coded = np.frombuffer(f, "<u4", n_blocks, at + 4 * n_blocks)
-        at += 8 * n_blocks
-        left = int(sizes.sum(dtype=np.int64))
+        checks = np.frombuffer(f, "<u4", n_blocks, at + 12 * n_docs)
+        coded = np.frombuffer(f, "<u4", n_blocks, end - 4 * n_blocks)
+        at, left = end + 4, int(sizes.sum(dtype=np.int64))
         for c, size in zip(checks.tolist(), coded.tolist()):
             blocks.append((f[at : at + size], min(block, left)))
             sums.append(c)
             at, left = at + size, left - min(block, left)
-        heads.append((vocabulary, doc_ids, sizes, n_blocks))
+        heads.append((vocabulary, together, doc_ids, sizes, n_blocks))
     if not heads:
         return []
-    ids = idcoder.decode(blocks, heads[0][0])
+    if len({h[:2] for h in heads}) > 1:
+        raise ValueError("frames read together have one vocabulary and one size of sets")
+    ids = idcoder.decode(blocks, heads[0][0], sets_of([h[4] for h in heads], heads[0][1]))
     for got, want in zip(ids, sums):
         if idcoder.checksum(got) != want:
             raise Damaged("a block's ids differ from its checksum")
     out, at = [], 0
-    for _, doc_ids, sizes, n in heads:
+    for _, _, doc_ids, sizes, n in heads:
         flat = np.concatenate(ids[at : at + n]) if n else np.zeros(0, np.int32)
         out.append(list(zip(doc_ids.tolist(), np.split(flat, np.cumsum(sizes, dtype=np.int64)[:-1]))))
         at += n
