@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -175,6 +176,25 @@ def test_id_coder_round_trip_and_damage():
         tokenfile.documents_of([bytes(frame)])
 
 
+def test_words_of_the_texts_at_hand_are_encoded_once(monkeypatch):
+    words, tok, seen = common.WordEnds(common.tokenizer_path("word_bpe_49k.json")), library("word_bpe_49k.json"), []
+    plain = words.encode
+    monkeypatch.setattr(words, "encode", lambda text, **k: seen.append(text.count(words.MARK)) or plain(text, **k))
+    ts = ["plover wexing plover", "", " ", "wexing x\x01y plover", "Ünder <|endoftext|>", "plover \u0378", "ünder 77"] * 30
+    for t, ids in zip(ts, words.look_up(ts)):
+        assert ids.tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+    assert sum(seen) <= 5  # plover, wexing, ünder, 7, the unassigned character
+    assert [x.tolist() for x in words.look_up(["", " "])] == [[], []] and words.look_up([]) == []
+
+
+def test_slices_hold_every_text_once(monkeypatch):
+    monkeypatch.setattr(common, "TEXTS", 10)
+    for sizes in ([], [0], [0, 0], [10, 0, 9, 25, 1], [3, 8], [30, 30], [4] * 20):
+        found = list(common.text_slices(pa.array(["x" * n for n in sizes], pa.string())))
+        assert [i for low, high in found for i in range(low, high)] == list(range(len(sizes)))
+        assert all(sum(sizes[low : high - 1]) < 20 for low, high in found)
+
+
 def test_blocks_of_a_set_share_what_they_learn():
     r = np.random.default_rng(6)
     # Any two ids tell the third, which no block of 64 sees twice.

@@ -137,8 +137,8 @@ def written(df: DataFrame, end_id: int = END_ID, path: str | None = None, id_col
             return out
 
         for b in batches:
-            for at in range(0, b.num_rows, common.SLICE):
-                rows = b.slice(at, common.SLICE)
+            for low, high in common.text_slices(b.column("text")):
+                rows = b.slice(low, high - low)
                 encoded = common.word_ends(path).look_up(rows.column("text").to_pylist())
                 for doc, own in zip(rows.column("doc_id").to_pylist(), encoded):
                     ids = np.append(own, np.uint16(end_id))
